@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fanchart.session import small_side
+
 ACCURACY = 10_000
 
 
@@ -22,7 +24,8 @@ def exact_percentile(
 
     A sketch brackets the wanted ranks (its rank error is at most n/accuracy), one aggregate counts the rows below the
     bracket and the distinct values inside it, and only those are sorted: at most ``10 * accuracy`` rows for a small
-    group, and a share of ``6 / accuracy`` of a large one before equal values are merged.
+    group, and a share of ``6 / accuracy`` of a large one before equal values are merged. With keys the sketch, one row
+    per group, is computed right away, so that the rows need no shuffle to meet it.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -42,9 +45,9 @@ def exact_percentile(
         brackets.append(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), low.alias("low"), high.alias("high")))
     sketch = sketch.select(*keys, F.col("_n").alias("n"), F.array(*brackets).alias("_b"))
 
-    # Without keys the bracket is one value, a scalar subquery; with keys Spark chooses the join by size at run time.
+    # Without keys the bracket is one value, a scalar subquery; with keys it is broadcast if there are few groups.
     if keys:
-        joined = rows.join(sketch, keys)
+        joined = rows.join(small_side(sketch), keys)
     else:
         bracket = sketch.select(F.struct("n", "_b").alias("s")).scalar()
         joined = rows.withColumn("s", bracket).select("_v", "s.n", "s._b")

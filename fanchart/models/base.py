@@ -86,6 +86,10 @@ class QuantileModel(Model, HasPanelParams, MLWritable, MLReadable):
         """Columns :meth:`attach` adds."""
         return []
 
+    @abstractmethod
+    def input_columns(self) -> list[str]:
+        """Columns :meth:`score` reads besides the side columns."""
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return self.score(self.attach(df)).select(*df.columns, *QUANTILES)
 

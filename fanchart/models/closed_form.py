@@ -73,6 +73,9 @@ class SeasonalNaiveModel(QuantileModel):
     def side_columns(self) -> list[str]:
         return ["r10", "r90"]
 
+    def input_columns(self) -> list[str]:
+        return [self.season_column]
+
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumns(seasonal_quantiles(self.season_column))
 
@@ -106,6 +109,9 @@ class ConstantQuantileModel(QuantileModel):
         super().__init__()
         self.values = values or {}
 
+    def input_columns(self) -> list[str]:
+        return []
+
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumns({name: F.lit(value) for name, value in self.values.items()})
 
@@ -142,6 +148,9 @@ class LastValueModel(QuantileModel):
     def side_columns(self) -> list[str]:
         return ["last_y"]
 
+    def input_columns(self) -> list[str]:
+        return []
+
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumns({name: F.coalesce("last_y", F.lit(0.0)) for name in QUANTILES})
 

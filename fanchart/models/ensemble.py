@@ -168,6 +168,9 @@ class QuantileEnsembleModel(QuantileModel):
     def side_columns(self) -> list[str]:
         return [f"{name}__{c}" for name, expert in self.fitted for c in expert.side_columns()]
 
+    def input_columns(self) -> list[str]:
+        return sorted({c for _, expert in self.fitted for c in expert.input_columns()})
+
     def score(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if c not in QUANTILES]
         for name, expert in self.fitted:

@@ -196,6 +196,7 @@ class QuantileGBT(QuantileEstimator):
             encoder=encoder,
             codes={c: cut_lineage(target_means(df, c, label)) for c in by_target},
             overall=float(df.agg(F.avg(label)).first()[0]) if by_target else 0.0,
+            inputs=features,
         )
         return self._copyValues(model)
 
@@ -274,8 +275,10 @@ class QuantileGBTModel(QuantileModel):
         encoder: PipelineModel | None = None,
         codes: dict[str, DataFrame] | None = None,
         overall: float = 0.0,
+        inputs: list[str] | None = None,
     ):
         super().__init__()
+        self.inputs = inputs or []
         self.start = start or {}
         self.learning_rate = learning_rate
         self.leaves = leaves or {}
@@ -299,6 +302,9 @@ class QuantileGBTModel(QuantileModel):
     def side_columns(self) -> list[str]:
         return [encoded(c) for c in self.codes]
 
+    def input_columns(self) -> list[str]:
+        return self.inputs
+
     def score(self, df: DataFrame) -> DataFrame:
         found = {q: F.lit(None).cast("double") for q in QUANTILES}
         found.update({q: F.lit(value) for q, value in self.start.items()})
@@ -324,6 +330,7 @@ class QuantileGBTModel(QuantileModel):
             "leaves": self.leaves,
             "codes": list(self.codes),
             "overall": self.overall,
+            "inputs": self.inputs,
         }
 
     def _save_parts(self, path: str) -> None:
@@ -344,4 +351,5 @@ class QuantileGBTModel(QuantileModel):
             encoder=PipelineModel.load(f"{path}/encoder") if state["leaves"] else None,
             codes={c: spark.read.parquet(f"{path}/codes_{c}") for c in state["codes"]},
             overall=state["overall"],
+            inputs=state["inputs"],
         )

@@ -8,6 +8,7 @@ from fanchart.functions.dates import calendar_columns
 from fanchart.functions.frames import lagged, last_known, trailing_mean
 from fanchart.grain import COMPETITOR_COLUMNS, Grain
 from fanchart.operators.panel import ensure_columns
+from fanchart.session import small_side
 
 
 def add_calendar(df: DataFrame, grain: Grain) -> DataFrame:
@@ -39,11 +40,11 @@ def group_totals(df: DataFrame) -> DataFrame:
 def add_group_totals(df: DataFrame) -> DataFrame:
     """Attach the category's quantity without the row's own.
 
-    The totals are aggregated first (partial sums on the map side) and joined back by (category, date). A window by
-    category and date would put a date of the default category, that is every SKU, into one task. The join side is
-    left to Spark: its size is known at run time, and a skewed sort-merge join is split.
+    The totals are aggregated first (partial sums on the map side), written, and joined back by (category, date). A
+    window by category and date would put a date of the default category, that is every SKU, into one task. The totals
+    are broadcast if a count shows them to be small; then the panel keeps its partitioning.
     """
-    joined = df.join(group_totals(df), ["category", "date"], "left")
+    joined = df.join(small_side(group_totals(df)), ["category", "date"], "left")
     return joined.withColumn("grp_qty_excl", F.col("grp_qty") - F.col("qty"))
 
 

@@ -2,7 +2,8 @@
 
 The loop state is one row per SKU: the newest rows of its history as an array no longer than the longest lag, and the
 last known value of each history feature. The features of the next period are expressions on that row, so a step
-needs no window and no shuffle by SKU. Only the joint mode exchanges anything between SKUs: one quantity per category.
+needs no window and no shuffle by SKU. Only the joint mode exchanges anything between SKUs, one quantity per category, and only for a
+model that reads the category features.
 """
 
 from __future__ import annotations
@@ -21,16 +22,21 @@ from fanchart.operators.features import add_features
 from fanchart.operators.panel import ensure_columns
 from fanchart.operators.promo import attach_plan
 from fanchart.schema import QUANTILES
-from fanchart.session import cut_lineage
+from fanchart.session import BROADCAST_ROWS, cut_lineage
 
 # Smallest forecast a calibration ratio divides by, and fewest rows it needs.
 SMALLEST_FORECAST = 1e-6
 FEWEST_CALIBRATION_ROWS = 2
 
-# Up to this many categories their totals are broadcast; above, Spark joins them by size at run time.
-BROADCAST_CATEGORIES = 200_000
 
-RECENT = ["qty", "promo_flag", "grp_qty_excl", *COMPETITOR_COLUMNS]
+
+def recent_columns(needed: list[str], grain: Grain) -> list[str]:
+    """The panel columns whose newest rows the ``needed`` history features are made from."""
+    sources = {"qty": grain.target_columns(), "promo_flag": grain.promo_columns(), "grp_qty_excl": grain.group_columns()}
+    for c in COMPETITOR_COLUMNS:
+        windows = [grain.competitor_window_name(c, n) for n in grain.competitor_windows]
+        sources[c] = [f"{c}_lag{n}" for n in grain.lags] + windows
+    return ["qty", *[s for s, made in sources.items() if s != "qty" and set(made) & set(needed)]]
 
 
 def last_rows(df: DataFrame, k: int) -> DataFrame:
@@ -47,11 +53,15 @@ def calibration_ratios(scored: DataFrame, low: float = 0.6, high: float = 1.4) -
     return scored.groupBy("sku").agg(F.when(enough, clipped).alias("ratio"))
 
 
-def loop_state(features: DataFrame, grain: Grain, joint: bool) -> DataFrame:
-    """One row per SKU: category, last date, recent rows (newest first) and last known features."""
+def loop_state(features: DataFrame, grain: Grain, joint: bool, needed: list[str]) -> DataFrame:
+    """One row per SKU: category, last date, recent rows (newest first) and last known features.
+
+    Only what the ``needed`` history features take is kept; Spark prunes the rest from ``features``.
+    """
+    recent_names = recent_columns(needed, grain)
     newest = Window.partitionBy("sku").orderBy(F.col("date").desc())
-    recent = F.struct("age", *[F.col(c).cast("double").alias(c) for c in RECENT])
-    carried = ["oos_flag", *COMPETITOR_COLUMNS, *grain.history_columns()]
+    recent = F.struct("age", *[F.col(c).cast("double").alias(c) for c in recent_names])
+    carried = ["oos_flag", *COMPETITOR_COLUMNS, *needed]
     known = [
         F.max_by(F.col(c).cast("double"), F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in carried
     ]
@@ -66,7 +76,7 @@ def loop_state(features: DataFrame, grain: Grain, joint: bool) -> DataFrame:
         "sku",
         "category",
         "last_date",
-        F.transform("recent", lambda r: F.struct(*[r[c].alias(c) for c in RECENT])).alias("recent"),
+        F.transform("recent", lambda r: F.struct(*[r[c].alias(c) for c in recent_names])).alias("recent"),
         F.struct(*carried).alias("known"),
     )
     if joint:
@@ -107,8 +117,8 @@ def _mean(column: str, n: int) -> str:
     return "(" + " + ".join(_lag(column, i) for i in range(n, 0, -1)) + f") / {n}D"
 
 
-def next_features(grain: Grain) -> dict[str, Column]:
-    """The history features of the period after the state's recent rows, as expressions on the state."""
+def next_features(grain: Grain, needed: list[str]) -> dict[str, Column]:
+    """The ``needed`` history features of the period after the state's recent rows, as expressions on the state."""
     own = {f"y_lag{n}": _lag("qty", n) for n in grain.lags}
     own |= {f"mean_{n}{grain.suffix}": _mean("qty", n) for n in grain.windows}
     own |= {f"promo_share_{n}{grain.suffix}": _mean("promo_flag", n) for n in grain.promo_windows}
@@ -118,22 +128,22 @@ def next_features(grain: Grain) -> dict[str, Column]:
     for c in COMPETITOR_COLUMNS:
         own |= {f"{c}_lag{n}": _lag(c, n) for n in grain.lags}
         own |= {grain.competitor_window_name(c, n): _mean(c, n) for n in grain.competitor_windows}
-    return {name: F.expr(f"coalesce({sql}, known.{name})") for name, sql in own.items()}
+    return {name: F.expr(f"coalesce({own[name]}, known.{name})") for name in needed}
 
 
-def step_columns(grain: Grain) -> dict[str, Column]:
+def step_columns(grain: Grain, needed: list[str]) -> dict[str, Column]:
     """All model inputs of the next period. ``out`` tells how many periods are done, so every step uses the same ones."""
     date = step_date(F.col("last_date"), F.size("out") + 1, grain)
     return {
         "date": date,
         **calendar_columns(date, grain),
-        **next_features(grain),
+        **next_features(grain, needed),
         **{c: F.col(f"known.{c}") for c in ("oos_flag", *COMPETITOR_COLUMNS)},
         "promo_flag": F.get("planned", F.size("out")),
     }
 
 
-def scored_columns(grain: Grain, once: bool) -> dict[str, Column]:
+def scored_columns(needed: list[str], once: bool) -> dict[str, Column]:
     """State columns a scored period changes, and ``fed`` and ``flag``, which become the newest recent row."""
     ratio = F.coalesce("ratio", F.lit(1.0))
     point = F.struct(
@@ -142,22 +152,18 @@ def scored_columns(grain: Grain, once: bool) -> dict[str, Column]:
         *[(F.col(q) * ratio).alias(q) for q in QUANTILES],
     )
     return {
-        "known": F.struct("oos_flag", *COMPETITOR_COLUMNS, *grain.history_columns()),
+        "known": F.struct("oos_flag", *COMPETITOR_COLUMNS, *needed),
         "out": F.concat("out", F.array(point)),
         "fed": F.col("p50") if once else F.col("p50") * ratio,
         "flag": F.col("promo_flag").cast("double"),
     }
 
 
-def _remember(state: DataFrame, grain: Grain, rest: Column) -> DataFrame:
+def _remember(state: DataFrame, grain: Grain, needed: list[str], rest: Column) -> DataFrame:
     """Put the scored period in front of the recent rows; its competitor values are not known."""
+    values = {"qty": F.col("fed"), "promo_flag": F.col("flag"), "grp_qty_excl": rest}
     unknown = F.lit(None).cast("double")
-    newest = F.struct(
-        F.col("fed").alias("qty"),
-        F.col("flag").alias("promo_flag"),
-        rest.alias("grp_qty_excl"),
-        *[unknown.alias(c) for c in COMPETITOR_COLUMNS],
-    )
+    newest = F.struct(*[values.get(c, unknown).alias(c) for c in recent_columns(needed, grain)])
     longer = F.slice(F.concat(F.array(newest), "recent"), 1, grain.max_lag)
     return state.withColumn("recent", longer).drop("fed", "flag")
 
@@ -186,8 +192,10 @@ def recursive_forecast(
         raise ValueError("horizon must be at least 1")
     if quantiles not in ("sorted", "raw"):
         raise ValueError("quantiles must be sorted or raw")
-    features = add_features(ensure_columns(panel).filter(F.col("date").isNotNull()), grain, alone=not joint)
-    state = future_promotions(loop_state(features, grain, joint), plan, grain, horizon)
+    needed = [c for c in grain.history_columns() if c in set(model.input_columns())]
+    shared = joint and bool(set(needed) & set(grain.group_columns()))
+    features = add_features(ensure_columns(panel).filter(F.col("date").isNotNull()), grain, alone=not shared)
+    state = future_promotions(loop_state(features, grain, joint, needed), plan, grain, horizon)
     if calibrate_last_k > 0:
         tail = model.transform(last_rows(features, calibrate_last_k))
         state = state.join(calibration_ratios(tail, clip_low, clip_high), "sku", "left")
@@ -197,22 +205,22 @@ def recursive_forecast(
     state = cut_lineage(model.attach(state.withColumn("out", F.array().cast(nothing))))
 
     group = [c for c in ("scenario", "category") if c in state.columns]
-    few = joint and state.select(*group).distinct().limit(BROADCAST_CATEGORIES + 1).count() <= BROADCAST_CATEGORIES
-    inputs, outputs = step_columns(grain), scored_columns(grain, calibrate_once)
+    few = shared and state.select(*group).distinct().count() <= BROADCAST_ROWS
+    inputs, outputs = step_columns(grain, needed), scored_columns(needed, calibrate_once)
     kept = [F.col(c) for c in state.columns if c not in outputs] + [c.alias(name) for name, c in outputs.items()]
     for step in range(1, horizon + 1):
         scored = model.score(state.withColumns(inputs)).select(*kept)
         if step == horizon:
             state = scored
             break
-        # Written every step: the totals read it twice, and the expressions of chained steps would grow without end.
+        # Written because the totals read it twice, and because the expressions of chained steps would grow without end.
         scored = cut_lineage(scored)
-        if joint:
+        if shared:
             totals = scored.groupBy(*group).agg(F.coalesce(F.sum("fed"), F.lit(0.0)).alias("grp_fed"))
             joined = scored.join(F.broadcast(totals) if few else totals, group, "left")
-            state = _remember(joined, grain, F.col("grp_fed") - F.col("fed")).drop("grp_fed")
+            state = _remember(joined, grain, needed, F.col("grp_fed") - F.col("fed")).drop("grp_fed")
         else:
-            state = _remember(scored, grain, F.lit(0.0))
+            state = _remember(scored, grain, needed, F.lit(0.0))
     keys = [c for c in ("scenario", "sku") if c in state.columns]
     return finish(state.select(*keys, F.inline("out")), quantiles)
 

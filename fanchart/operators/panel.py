@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fanchart.functions.dates import ISO_FORMATS, lookback_cutoff, parse_date, snap
 from fanchart.functions.quantiles import exact_percentile
 from fanchart.functions.text import normalise_sku
 from fanchart.grain import Grain
 from fanchart.schema import PANEL_COLUMNS, PANEL_DEFAULTS, PANEL_TYPES, require_columns
+from fanchart.session import small_side
 
 
 class DuplicateKeyError(ValueError):
@@ -30,22 +31,23 @@ def ensure_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
-def parse_dates(df: DataFrame, grain: Grain, formats: tuple[str, ...] = ISO_FORMATS) -> DataFrame:
-    """Parse the text column ``date`` and snap it to the period; a date column is only snapped."""
+def period(df: DataFrame, grain: Grain, formats: tuple[str, ...] = ISO_FORMATS) -> Column:
+    """The column ``date`` at the end of its period; text is parsed first."""
     date = F.col("date")
     if dict(df.dtypes)["date"] == "string":
         date = parse_date(date, formats)
-    return df.withColumn("date", snap(date.cast("date"), grain))
+    return snap(date.cast("date"), grain)
 
 
 def normalise(df: DataFrame, grain: Grain, formats: tuple[str, ...] = ISO_FORMATS) -> DataFrame:
     """A raw sales table as a panel: required columns checked, defaults, SKU as clean text, dates, column order."""
-    require_columns(df, ["qty", "date"], "sales")
-    df = parse_dates(ensure_columns(df), grain, formats).withColumn("sku", normalise_sku(F.col("sku")))
-    typed = {name: F.col(name).cast(PANEL_TYPES[name]) for name in PANEL_COLUMNS}
-    typed["qty"] = F.nanvl(typed["qty"], F.lit(None).cast("double"))
+    df = ensure_columns(require_columns(df, ["qty", "date"], "sales"))
+    typed = {name: F.col(name).cast(kind) for name, kind in PANEL_TYPES.items()}
+    typed["date"] = period(df, grain, formats)
+    typed["sku"] = normalise_sku(F.col("sku"))
     typed["category"] = F.coalesce(typed["category"], F.lit(PANEL_DEFAULTS["category"]))
-    return df.withColumns(typed).select(*PANEL_COLUMNS)
+    typed["qty"] = F.nanvl(typed["qty"], F.lit(None).cast("double"))
+    return df.select(*[typed[name].alias(name) for name in PANEL_COLUMNS])
 
 
 def require_unique_key(panel: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def drop_incomplete(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def winsorise(df: DataFrame, p: float = 0.99, key: str = "sku", value: str = "qty") -> DataFrame:
     """Cap ``value`` at its ``p`` percentile per ``key``; only the upper side is touched."""
-    caps = exact_percentile(df, [key], value, {"cap": p})
+    caps = small_side(exact_percentile(df, [key], value, {"cap": p}))
     capped = F.when(F.col(value).isNotNull(), F.least(F.col(value), F.col("cap")))
     return df.join(caps, key, "left").withColumn(value, capped).drop("cap")
 

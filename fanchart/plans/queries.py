@@ -27,7 +27,7 @@ from fanchart.operators.folds import assign_folds, rolling_folds
 from fanchart.operators.promo import attach_plan
 from fanchart.operators.search import random_search
 from fanchart.operators.weights import add_training_weight
-from fanchart.plans.tables import daily_sales, last_year_plan, sales_panel, table
+from fanchart.plans.tables import daily_sales, last_year_plan, sales_panel, table, written_panel
 from fanchart.schema import QUANTILES
 from fanchart.sources.synthetic import synthetic_panel
 
@@ -55,12 +55,12 @@ def dates_as_text(df: DataFrame) -> DataFrame:
 
 
 def complete_features(spark: SparkSession, sf_dir: str, grain: Grain = MONTHLY) -> DataFrame:
-    return prepare_features(feat.add_features(sales_panel(spark, sf_dir, grain), grain), grain)
+    return prepare_features(feat.add_features(written_panel(spark, sf_dir, grain), grain), grain)
 
 
 def seasonal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel rows that have a seasonal lag, with the in-sample naive quantiles of their SKU."""
-    panel = sales_panel(spark, sf_dir, MONTHLY).select("sku", "category", "date", "qty")
+    panel = written_panel(spark, sf_dir, MONTHLY).select("sku", "category", "date", "qty")
     lag_column = MONTHLY.season_column
     rows = panel.withColumn(lag_column, lagged("qty", MONTHLY.season)).filter(F.col(lag_column).isNotNull())
     return rows.join(residual_summary(rows, lag_column), "sku").withColumns(seasonal_quantiles(lag_column))
@@ -110,7 +110,7 @@ def parse_dates(spark, sf_dir):
 
 
 def lookback_filter(spark, sf_dir):
-    kept = pn.keep_lookback(sales_panel(spark, sf_dir, MONTHLY), LOOKBACK, MONTHLY)
+    kept = pn.keep_lookback(written_panel(spark, sf_dir, MONTHLY), LOOKBACK, MONTHLY)
     return kept.select("sku", "date", "qty")
 
 
@@ -162,7 +162,7 @@ def rolling_features(grain: Grain) -> Query:
 
 def group_features(grain: Grain) -> Query:
     def query(spark, sf_dir):
-        panel = sales_panel(spark, sf_dir, grain).select("sku", "category", "date", "qty", "promo_flag")
+        panel = written_panel(spark, sf_dir, grain).select("sku", "category", "date", "qty", "promo_flag")
         grouped = feat.add_group_history(feat.add_group_totals(panel), grain)
         columns = ["grp_qty", "grp_promo_share", "grp_qty_excl", *grain.group_columns()]
         return grouped.withColumns(rounded(columns)).select("sku", "category", "date", *columns)
@@ -181,7 +181,7 @@ def competitor_features(grain: Grain) -> Query:
 
 def all_features_monthly(spark, sf_dir):
     """Every feature at once: the plan that training and forecasting use."""
-    features = feat.add_features(sales_panel(spark, sf_dir, MONTHLY), MONTHLY)
+    features = feat.add_features(written_panel(spark, sf_dir, MONTHLY), MONTHLY)
     columns = MONTHLY.history_columns()
     return features.withColumns(rounded(columns)).select("sku", "date", "month", "quarter", *columns)
 
@@ -197,7 +197,7 @@ def last_k_rows(spark, sf_dir):
 
 
 def training_weights(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     weighted = add_training_weight(panel, MONTHLY, HALFLIFE)
     return weighted.select("sku", "date", F.round("weight", DIGITS).alias("weight"))
 
@@ -223,11 +223,11 @@ def constant_quantiles(spark, sf_dir):
 
 
 def folds(spark, sf_dir):
-    return rolling_folds(sales_panel(spark, sf_dir, MONTHLY), FOLDS, HORIZON)
+    return rolling_folds(written_panel(spark, sf_dir, MONTHLY), FOLDS, HORIZON)
 
 
 def fold_assignment(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     assigned = assign_folds(panel, rolling_folds(panel, FOLDS, HORIZON))
     return assigned.groupBy("fold", "part").agg(
         F.count("*").alias("n"),
@@ -239,7 +239,7 @@ def fold_assignment(spark, sf_dir):
 
 def naive_fold_scores(spark, sf_dir):
     return walk_forward_seasonal(
-        feat.add_features(sales_panel(spark, sf_dir, MONTHLY), MONTHLY), MONTHLY, FOLDS, HORIZON
+        feat.add_features(written_panel(spark, sf_dir, MONTHLY), MONTHLY), MONTHLY, FOLDS, HORIZON
     )
 
 
@@ -255,11 +255,11 @@ def walk_forward_naive(spark, sf_dir):
 
 
 def seasonal_naive_forecast(spark, sf_dir):
-    return fc.seasonal_naive_direct(sales_panel(spark, sf_dir, MONTHLY), MONTHLY, HORIZON)
+    return fc.seasonal_naive_direct(written_panel(spark, sf_dir, MONTHLY), MONTHLY, HORIZON)
 
 
 def seasonal_naive_daily(spark, sf_dir):
-    return fc.seasonal_naive_direct(sales_panel(spark, sf_dir, DAILY), DAILY, 14)
+    return fc.seasonal_naive_direct(written_panel(spark, sf_dir, DAILY), DAILY, 14)
 
 
 def naive_model(panel: DataFrame):
@@ -269,42 +269,42 @@ def naive_model(panel: DataFrame):
 
 
 def recursive_forecast_naive(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     return fc.recursive_forecast(panel, naive_model(panel), MONTHLY, HORIZON, joint=True)
 
 
 def recursive_forecast_alone(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     return fc.recursive_forecast(panel, naive_model(panel), MONTHLY, HORIZON, joint=False)
 
 
 def naive_calibrated(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     return fc.recursive_forecast(
         panel, naive_model(panel), MONTHLY, HORIZON, joint=True, calibrate_last_k=LAST_K, quantiles="raw"
     )
 
 
 def promo_plan_join(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     full = fc.with_stubs(panel, fc.future_stubs(panel, MONTHLY, last_year_plan(panel)))
     return full.select("sku", "category", "date", "qty", F.col("promo_flag").cast("int").alias("promo_flag"))
 
 
 def promo_plan_lookup(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     return attach_plan(panel.select("sku", "date"), last_year_plan(panel), "planned_flag")
 
 
 def promo_scenarios(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     plan = last_year_plan(panel)
     plans = {"repeat": plan, "general": plan.filter("sku = 'ALL'")}
     return fc.recursive_forecast(panel, naive_model(panel), MONTHLY, HORIZON, plan=plans, joint=True)
 
 
 def feed_back_p50(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY).select("sku", "date", "qty")
+    panel = written_panel(spark, sf_dir, MONTHLY).select("sku", "date", "qty")
     forecast = fc.seasonal_naive_direct(panel, MONTHLY, HORIZON)
     stubs = forecast.select("sku", "date")
     return fc.feed_back(fc.with_stubs(panel, stubs), forecast)
@@ -361,7 +361,7 @@ def hyperparameter_search(spark, sf_dir):
 
 
 def history_and_forecast(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     return panel, fc.seasonal_naive_direct(panel, MONTHLY, HORIZON)
 
 
@@ -398,7 +398,7 @@ def forecast_preview(spark, sf_dir):
 
 
 def selector_values(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     skus = pn.distinct_values(panel, "sku").select(F.lit("sku").alias("selector"), F.col("sku").alias("value"))
     categories = pn.distinct_values(panel, "category").select(
         F.lit("category").alias("selector"), F.col("category").alias("value")
@@ -407,7 +407,7 @@ def selector_values(spark, sf_dir):
 
 
 def sku_category(spark, sf_dir):
-    panel = sales_panel(spark, sf_dir, MONTHLY)
+    panel = written_panel(spark, sf_dir, MONTHLY)
     first = pn.first_category(panel).withColumnRenamed("category", "first_category")
     latest = pn.latest_category(panel).withColumnRenamed("category", "latest_category")
     return first.join(latest, "sku")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fanchart.grain import Grain
 from fanchart.operators.panel import normalise
+from fanchart.session import cut_lineage
 
 # The discount and tax from which a line counts as promoted by the seller and by a competitor.
 PROMO_DISCOUNT = 0.085
@@ -68,6 +69,11 @@ def sales_panel(spark: SparkSession, sf_dir: str, grain: Grain) -> DataFrame:
     return normalise(panel, grain)
 
 
+def written_panel(spark: SparkSession, sf_dir: str, grain: Grain) -> DataFrame:
+    """The panel, written once: for queries that read it several times, so that the order lines are scanned once."""
+    return cut_lineage(sales_panel(spark, sf_dir, grain))
+
+
 def last_year_plan(panel: DataFrame) -> DataFrame:
     """A promotion plan made from the panel: each SKU repeats last year's promotions, December is promoted for all."""
     again = F.last_day(F.add_months("date", 12))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# A table of at most this many narrow rows (some 50 MB) may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def local_session(cpus: int | str = 8, app: str = "fanchart") -> SparkSession:
@@ -41,3 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The narrow side of a join: written once, counted, and broadcast only if it has few rows.
+
+    Without the count Spark would not know the size of an aggregate before shuffling the large side to meet it. Beyond
+    ``rows`` the plain table is returned: a sort-merge join, whose skewed partitions Spark splits.
+    """
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.count() <= rows else written

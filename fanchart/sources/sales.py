@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from fanchart.functions.dates import ISO_FORMATS
 from fanchart.functions.text import normalise_sku
 from fanchart.grain import Grain
-from fanchart.operators.panel import normalise, parse_dates
+from fanchart.operators.panel import normalise, period
 from fanchart.schema import FORECAST_TYPES, PANEL_DEFAULTS, PANEL_TYPES, PLAN_TYPES, require_columns
 
 # Quoted fields may hold commas and doubled quotes.
@@ -51,7 +51,7 @@ def read_promo_plan(spark: SparkSession, path: str, grain: Grain) -> DataFrame:
     require_columns(plan, ["date", "sku", "promo_flag"], "promo plan")
     if "category" not in plan.columns:
         plan = plan.withColumn("category", F.lit(PANEL_DEFAULTS["category"]))
-    plan = parse_dates(plan, grain).withColumn("sku", normalise_sku(F.col("sku")))
+    plan = plan.withColumns({"date": period(plan, grain), "sku": normalise_sku(F.col("sku"))})
     return plan.select(*PLAN_TYPES, "line")
 
 
