@@ -15,7 +15,7 @@ from fanchart.operators.backtest import prepare_features
 from fanchart.operators.features import add_features
 from fanchart.operators.forecast import recursive_forecast
 from fanchart.operators.panel import keep_lookback, require_unique_key
-from fanchart.operators.search import fit_best, random_search, search_ranges
+from fanchart.operators.search import ROUND_SCALE, fit_best, random_search, search_ranges
 from fanchart.operators.series import export_table
 from fanchart.sources.params import load_best_params, write_best_params, write_trials
 from fanchart.sources.sales import read_promo_plan, write_csv, write_forecast, write_normalised
@@ -37,6 +37,7 @@ class RunConfig:
     search: tuple[str, ...] = ()
     search_folds: int = 4
     trials: int = 50
+    search_round_scale: int = ROUND_SCALE
     rounds: int = 20
     joint: bool = True
     calibrate_last_k: int = 6
@@ -53,7 +54,7 @@ def search_and_save(spark: SparkSession, config: RunConfig, features: DataFrame,
         expert,
         features,
         grain,
-        search_ranges(encoding),
+        search_ranges(encoding, config.search_round_scale),
         trials=config.trials,
         k=config.search_folds,
         horizon=config.horizon,
