@@ -9,6 +9,7 @@ from fanchart.functions.quantiles import exact_percentile
 from fanchart.grain import grain as grain_of
 from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only
 from fanchart.schema import QUANTILES
+from fanchart.session import small_side
 
 
 def residual_summary(train: DataFrame, lag_column: str, label: str = "qty", keys: tuple[str, ...] = ("sku",)):
@@ -55,7 +56,7 @@ class SeasonalNaive(QuantileEstimator):
         if column not in df.columns:
             raise ValueError(f"features lack {column}")
         residuals = residual_summary(df, column, self.getOrDefault(self.labelCol)).drop("scale")
-        model = SeasonalNaiveModel(residuals, column)
+        model = SeasonalNaiveModel(small_side(residuals), column)
         return self._copyValues(model)
 
 
@@ -134,7 +135,7 @@ class LastValue(QuantileEstimator):
     def _fit(self, df: DataFrame) -> LastValueModel:
         label = self.getOrDefault(self.labelCol)
         last = df.groupBy("sku").agg(F.max_by(label, F.when(F.col(label).isNotNull(), F.col("date"))).alias("last_y"))
-        return self._copyValues(LastValueModel(last))
+        return self._copyValues(LastValueModel(small_side(last)))
 
 
 class LastValueModel(QuantileModel):

@@ -23,6 +23,7 @@ def exponential_weights(losses: DataFrame, eta: float, loss: str = "loss") -> Da
     """Add ``weight`` = exp(-eta * loss) over the sum of all, from one row per expert.
 
     Losses are taken relative to the smallest, which leaves the weights as they are and keeps exp from underflowing.
+    The window over everything holds one row per expert.
     """
     everyone = Window.partitionBy(F.lit(0))
     raw = F.exp(-eta * (F.col(loss) - F.min(loss).over(everyone)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from fanchart.functions.quantiles import exact_percentile, number_array, weighted_quantiles
 from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only
 from fanchart.schema import QUANTILES
-from fanchart.session import cut_lineage
+from fanchart.session import cut_lineage, small_side
 
 # Below this many training rows no tree is grown and the model predicts the training quantiles.
 FEWEST_ROWS = 4
@@ -49,7 +49,8 @@ def target_means_by_date(train: DataFrame, column: str, label: str) -> DataFrame
     """Mean target of a category before each date, as (column, date, code).
 
     Sums per (category, date) come first, so the running window sees at most one row per date of a category, however
-    many rows the category has. Before a category's first date the overall mean up to then stands in.
+    many rows the category has. Before a category's first date the overall mean up to then stands in; it has one row
+    per date, so its broadcast is bounded by the calendar.
     """
     daily = train.groupBy(column, "date").agg(F.sum(label).alias("s"), F.count(label).alias("c"))
     earlier = Window.partitionBy(column).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +60,7 @@ def target_means_by_date(train: DataFrame, column: str, label: str) -> DataFrame
         "date",
         F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s"),
         F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"),
-    ).join(prior, "date")
+    ).join(F.broadcast(prior), "date")
     mean = (F.col("s") + PRIOR_ROWS * F.col("prior")) / (F.col("c") + PRIOR_ROWS)
     return runs.select(column, "date", mean.alias("code"))
 
@@ -172,9 +173,8 @@ class QuantileGBT(QuantileEstimator):
 
         coded = df.filter(F.col(label).isNotNull())
         for c in by_target:
-            coded = coded.join(target_means_by_date(df, c, label), [c, "date"], "left").withColumnRenamed(
-                "code", encoded(c)
-            )
+            codes = small_side(target_means_by_date(df, c, label))
+            coded = coded.join(codes, [c, "date"], "left").withColumnRenamed("code", encoded(c))
         numeric = [c for c in features if c not in categorical] + [encoded(c) for c in by_target]
         encoder = _assembler(numeric, one_hot).fit(coded)
         weight = F.col(p["weightCol"]) if p["weightCol"] else F.lit(1.0)
@@ -194,7 +194,7 @@ class QuantileGBT(QuantileEstimator):
             leaves={q: leaves for q, (_, leaves) in grown.items()},
             forests={q: _forest(trees) for q, (trees, _) in grown.items()},
             encoder=encoder,
-            codes={c: cut_lineage(target_means(df, c, label)) for c in by_target},
+            codes={c: small_side(target_means(df, c, label)) for c in by_target},
             overall=float(df.agg(F.avg(label)).first()[0]) if by_target else 0.0,
             inputs=features,
         )

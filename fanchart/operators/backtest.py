@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from fanchart.functions.metrics import METRICS, UNSCORED, mase, quantile_scores
 from fanchart.grain import Grain
 from fanchart.models.closed_form import residual_summary, seasonal_quantiles
+from fanchart.operators.features import present_features
 from fanchart.operators.folds import assign_folds, rolling_folds
 from fanchart.operators.panel import drop_incomplete
 from fanchart.session import cut_lineage
@@ -89,5 +90,5 @@ def walk_forward(estimator, features: DataFrame, grain: Grain, k: int, horizon:
 
 def prepare_features(features: DataFrame, grain: Grain) -> DataFrame:
     """Complete feature rows, written once so that folds, trials and boosting rounds do not recompute them."""
-    columns = ["date", "qty", *[c for c in grain.feature_columns() if c in features.columns]]
+    columns = ["date", "qty", *present_features(features, grain)]
     return cut_lineage(drop_incomplete(features.select(*columns)))

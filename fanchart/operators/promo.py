@@ -22,12 +22,13 @@ def one_row_per_key(plan: DataFrame) -> DataFrame:
 def attach_plan(df: DataFrame, plan: DataFrame | None, column: str = "promo_flag") -> DataFrame:
     """Set ``column`` from the plan by (date, sku); a plan row for SKU ``ALL`` fills in where no exact row exists.
 
-    Without a plan, or where it says nothing, the flag is 0. The join side is left to Spark, as plans may be large.
+    Without a plan, or where it says nothing, the flag is 0. Exact rows may be many, so that join is left to Spark; the
+    general ones are at most one per date, so they are broadcast.
     """
     if plan is None:
         return df.withColumn(column, F.lit(0))
     keyed = one_row_per_key(plan)
     exact = keyed.filter(F.col("sku") != EVERY_SKU)
     general = keyed.filter(F.col("sku") == EVERY_SKU).select("date", F.col("planned").alias("planned_all"))
-    joined = df.join(exact, ["date", "sku"], "left").join(general, "date", "left")
+    joined = df.join(exact, ["date", "sku"], "left").join(F.broadcast(general), "date", "left")
     return joined.withColumn(column, F.coalesce("planned", "planned_all", F.lit(0))).drop("planned", "planned_all")
