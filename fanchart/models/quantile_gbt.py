@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
 from pyspark.ml.wrapper import JavaWrapper
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fanchart.functions.quantiles import exact_percentile, number_array, weighted_quantiles
 from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only

@@ -1,5 +1,3 @@
-from datetime import date
-
 import pytest
 import tables
 from pyspark.errors import PySparkException
