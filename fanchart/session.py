@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A table of at most this many narrow rows (some 50 MB) may be broadcast.
+# A table of at most this many rows and bytes may be broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int | str = 8, app: str = "fanchart") -> SparkSession:
@@ -26,31 +29,54 @@ def local_session(cpus: int | str = 8, app: str = "fanchart") -> SparkSession:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder checkpoints go to: the one the cluster names, or a temporary one in local mode only."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one ``spark.checkpoint.dir`` names, or a temporary one in local mode only."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="fanchart-checkpoints-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fanchart-shared-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Write ``df`` (or only ``columns`` of it) to the shared folder and go on from there.
+
+    Lost executors then cost no recomputation, and the scan of the written parquet keeps column pruning, filter pushdown
+    and statistics. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    if columns is not None:
+        df = df.select(*columns)
+    path = f"{shared_folder(spark)}/fanchart/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/fanchart/" in folder:
+            _file_system(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The narrow side of a join: written once, counted, and broadcast only if it has few rows.
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The narrow side of a join: written once, measured, and broadcast only if its rows and bytes are few.
 
     Without the count Spark would not know the size of an aggregate before shuffling the large side to meet it. Beyond
-    ``rows`` the plain table is returned: a sort-merge join, whose skewed partitions Spark splits.
+    the bounds the plain table is returned: a sort-merge join, whose skewed partitions Spark splits.
     """
     written = cut_lineage(df)
-    return F.broadcast(written) if written.count() <= rows else written
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    width = sum(texts, F.lit(16 * len(df.columns)))
+    measured = written.agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return F.broadcast(written) if measured.n <= rows and (measured.bytes or 0) <= size else written
