@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fanchart.llm import bpe, chat, decontaminate, pii, secrets, sharding
+from fanchart.llm import bpe, chat, decontaminate, pii, secrets, sharding, simhash
 from fanchart.session import cut_lineage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,6 +48,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY, PATTERN).drop("text")
 
@@ -77,6 +82,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
+    "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
     "op8_secrets": op8_secrets,
