@@ -7,13 +7,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fanchart.llm import bpe, decontaminate, pii
+from fanchart.llm import bpe, decontaminate, pii, quality, simhash
 from fanchart.llm.queries import PATTERN, VOCABULARY, table
 from fanchart.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on this stage's input, rejects go."""
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return quality.score_documents(docs, classifier).filter("keep").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays; of its repeated rows, one."""
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("fp").alias("kept_fp"))
+    printed = simhash.with_fingerprints(docs.select(*COLUMNS))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("kept_fp"))
+    return printed.join(kept.distinct(), same, "left_semi").dropDuplicates(["doc_id", "fp"]).select(*COLUMNS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with no word inside a benchmark window stay."""
     benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -31,7 +46,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs.select("doc_id", "text"), VOCABULARY, PATTERN).drop("text")
 
 
-STAGES = [("benchmark decontamination", decontamination), ("PII", personal_data), ("byte-level BPE", tokens)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("byte-level BPE", tokens),
+]
 
 # Several stages run numpy or an external tokenizer; tests compare them with brute force instead.
 ORACLE_SQL = None

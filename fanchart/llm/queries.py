@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fanchart.llm import bpe, chat, decontaminate, pii, secrets, sharding, simhash
+from fanchart.llm import bpe, chat, decontaminate, pii, quality, secrets, sharding, simhash
 from fanchart.session import cut_lineage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,6 +79,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted, VOCABULARY, PATTERN)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return quality.score_documents(docs, classifier).select("doc_id", "keep", "score", "votes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op8_secrets": op8_secrets,
     "op9_chat": op9_chat,
+    "op10_quality": op10_quality,
 }
 
 
