@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fanchart.llm.arrow import bounds, map_groups, map_rows
 from fanchart.llm.components import connected_components
@@ -126,16 +126,25 @@ def links_in_groups(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[
 
 
 def chunked(keyed: DataFrame, key: str, value: str, group: int) -> DataFrame:
-    """``keyed`` with hot keys split: rows of a key with more than ``group`` rows go to every pair of chunks they are in.
+    """``keyed`` with hot keys split: a key with more than ``group`` rows becomes a group for every pair of its chunks.
 
-    Counting is a map-side aggregate; the list of hot keys is short and joined by its measured size.
+    ``side`` is -1 in whole groups and in groups of a chunk with itself. In a group of two chunks it names the row's
+    chunk, so that only pairs of different sides are new there. Counting is a map-side aggregate; the list of hot keys
+    is short and joined by its measured size.
     """
     hot = keyed.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > group)
     hot = small_side(hot.select(key, F.ceil(F.col("_n") / group).cast("int").alias("_k")))
     own = F.pmod(F.xxhash64(F.lit(7), value), F.col("_k")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda other: F.xxhash64(key, F.least(own, other), F.greatest(own, other)))
-    parts = F.when(F.col("_k").isNull(), F.array(key)).otherwise(pairs)
-    return keyed.join(hot, key, "left").select(F.explode(parts).alias(key), *(c for c in keyed.columns if c != key))
+
+    def pair(other: Column) -> Column:
+        name = F.xxhash64(key, F.least(own, other), F.greatest(own, other))
+        return F.struct(name.alias("key"), F.when(own == other, F.lit(-1)).otherwise(own).alias("side"))
+
+    whole = F.array(F.struct(F.col(key).alias("key"), F.lit(-1).alias("side")))
+    parts = F.when(F.col("_k").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), pair))
+    rest = [c for c in keyed.columns if c != key]
+    split = keyed.join(hot, key, "left").select(F.explode(parts).alias("_part"), *rest)
+    return split.select(F.col("_part.key").alias(key), *rest, F.col("_part.side").alias("side"))
 
 
 def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
@@ -151,7 +160,8 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, group: int
 
         return links
 
-    return map_groups(chunked(keyed, "bucket", "fp", group), "bucket", ["fp"], "a bigint, b bigint", start)
+    parted = chunked(keyed, "bucket", "fp", group).drop("side")
+    return map_groups(parted, "bucket", ["fp"], "a bigint, b bigint", start)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, text: str = "text") -> DataFrame:
@@ -166,5 +176,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return written.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def hexadecimal(fp: str = "fp"):
+def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
