@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fanchart.llm import bpe, chat, decontaminate, itq, pii, quality, secrets, sharding, simhash
+from fanchart.llm import bpe, chat, decontaminate, itq, pii, quality, secrets, sharding, simhash, substring
 from fanchart.session import cut_lineage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,6 +62,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("text")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated_windows(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicate_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_substring": op6_substring,
     "op7_itq": op7_itq,
     "op8_secrets": op8_secrets,
     "op9_chat": op9_chat,
