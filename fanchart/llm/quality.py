@@ -30,6 +30,8 @@ KEEP, REJECT, ABSTAIN = "k", "r", "a"
 LABELLED, FITTED, LISTED, FEATURES = 20_000, 12_000, 4_000, 1 << 18
 # A listed word would be in toxic documents alone with at most this probability, were it spread by chance.
 CHANCE = 1e-6
+# Shares of faulty and sound documents to start from; they stand where no labeller votes.
+EXPECTED = np.array([0.05, 0.95])
 # Bytes of a word's beginning.
 PREFIX = 6
 # Labellers by the fault they look for. A document is bad if it has any fault, and faults come without one another.
@@ -122,10 +124,10 @@ def estimate(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[dict[s
     votes = np.array([["kra".index(v) for v in p] for p, _ in patterns])
     counts = np.array([c for _, c in patterns], dtype=float)
     rejects, votes_cast = (votes == 1).astype(float), (votes != 2).astype(float)
-    sound = np.where(rejects.any(axis=1), 0.05, 0.95)
+    sound = np.where(rejects.any(axis=1), *EXPECTED)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - sound), counts * sound])
-        prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
+        prior = (weight.sum(axis=1) + 2 * EXPECTED) / (counts.sum() + 2)
         rates = (weight @ rejects + 0.1) / (weight @ votes_cast + 1)
         rates = np.stack([rates[0].clip(0.25, 0.999), rates[1].clip(1e-5, 0.05)])
         score = np.log(prior)[:, None] + np.log(rates) @ rejects.T + np.log(1 - rates) @ (votes_cast - rejects).T
@@ -152,27 +154,32 @@ def posteriors(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], dict[
 
 
 def features_of(words: list[bytes], votes: str) -> np.ndarray:
-    """Hashed presence of words, word beginnings and votes, ascending."""
+    """Hashed presence of words and word beginnings, ascending, then one feature per vote behind the hashed ones."""
     different = set(words)
-    tokens = [b"\0" + w for w in {w[:PREFIX] for w in different}] + [b"\1%d%c" % (i, ord(v)) for i, v in enumerate(votes)]
-    hashed = [zlib.crc32(t) for t in different] + [zlib.crc32(t) for t in tokens]
-    return np.unique(np.array(hashed, dtype=np.int64) % FEATURES)
+    hashed = [zlib.crc32(w) for w in different] + [zlib.crc32(b"\0" + w) for w in {w[:PREFIX] for w in different}]
+    cast = [FEATURES + 3 * i + "kra".index(v) for i, v in enumerate(votes)]
+    return np.concatenate([np.unique(np.array(hashed, dtype=np.int64) % FEATURES), np.array(cast, dtype=np.int64)])
 
 
-def fit_scorer(features: list[np.ndarray], goal: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 1e-6) -> np.ndarray:
-    """Weights of the features, and the intercept last, of a logistic scorer for soft labels ``goal``.
+def scales_of(features: np.ndarray) -> np.ndarray:
+    """Words share a unit length; each vote counts whole."""
+    words = len(features) - len(LABELLERS)
+    return np.concatenate([np.full(words, 1 / np.sqrt(max(words, 1))), np.ones(len(LABELLERS))])
 
-    Full-batch Adam steps; a document's features count with the inverse square root of their number.
-    """
-    sizes = np.array([len(f) for f in features])
-    index, row = np.concatenate(features), np.repeat(np.arange(len(features)), sizes)
-    scale = (1 / np.sqrt(sizes))[row]
-    weights = np.zeros(FEATURES + 1)
+
+def fit_scorer(features: list[np.ndarray], goal: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the features, and the intercept last, of a logistic scorer for soft labels ``goal``: full-batch Adam."""
+    index, row = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
+    scale = np.concatenate([scales_of(f) for f in features])
+    size = FEATURES + 3 * len(LABELLERS)
+    weights = np.zeros(size + 1)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
+    # Words explain what the votes leave open.
+    shrink = np.concatenate([np.full(FEATURES, decay), np.zeros(size + 1 - FEATURES)])
     for step in range(1, steps + 1):
         z = np.bincount(row, weights[index] * scale, minlength=len(features)) + weights[-1]
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - goal
-        slope = np.append(np.bincount(index, error[row] * scale, minlength=FEATURES), error.sum()) / len(goal) + decay * weights
+        slope = np.append(np.bincount(index, error[row] * scale, minlength=size), error.sum()) / len(goal) + shrink * weights
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
         weights -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -186,7 +193,7 @@ class Classifier:
         self.listed, self.prefixes = listed, prefixes
         self.posterior: dict[str, float] = {}
         self.rates: dict[str, np.ndarray] = {}
-        self.weights = np.zeros(FEATURES + 1, dtype=np.float32)
+        self.weights = np.zeros(FEATURES + 3 * len(LABELLERS) + 1, dtype=np.float32)
 
     def votes(self, text: str | None) -> tuple[list[bytes], str]:
         words = words_of(text)
@@ -195,7 +202,7 @@ class Classifier:
     def score(self, text: str | None) -> tuple[float, str]:
         words, votes = self.votes(text)
         features = features_of(words, votes)
-        z = float(self.weights[features].sum(dtype=np.float64)) / np.sqrt(len(features)) + float(self.weights[-1])
+        z = float(self.weights[features] @ scales_of(features)) + float(self.weights[-1])
         return 1 / (1 + float(np.exp(-np.clip(z, -500, 500)))), votes
 
 

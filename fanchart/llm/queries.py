@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fanchart.llm import bpe, chat, decontaminate, itq, pii, quality, secrets, sharding, simhash, substring
+from fanchart.llm.oracles import SQL
 from fanchart.session import cut_lineage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,7 +85,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\\### Assistant: </turn> ok").alias("text"),
     )
     formatted = chat.format_turns(turns.unionByName(extra), VOCABULARY, PATTERN)
-    return chat.read_back(formatted, VOCABULARY, PATTERN)
+    return chat.read_back(formatted, VOCABULARY, PATTERN).drop("n_tokens", "loss_tokens")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
