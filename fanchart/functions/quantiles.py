@@ -9,12 +9,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fanchart.session import small_side
 
 ACCURACY = 10_000
+# Brackets of a group are as wide as the largest of these sizes that the group has.
+GROUP_SIZES = (10, 100, 1_000, 10_000)
+# The first growing part is this much smaller than the bracket.
+SMALLEST_STEP = 2.0**64
 
 
 def exact_percentile(
@@ -22,77 +28,89 @@ def exact_percentile(
 ) -> DataFrame:
     """Linearly interpolated percentiles per ``keys``, one output column per entry of ``probs``.
 
-    A sketch brackets the wanted ranks (its rank error is at most n/accuracy), one aggregate counts the rows below the
-    bracket and the distinct values inside it, and only those are sorted: at most ``10 * accuracy`` rows for a small
-    group, and a share of ``6 / accuracy`` of a large one before equal values are merged. With keys the sketch, one row
-    per group, is computed right away, so that the rows need no shuffle to meet it.
+    A sketch brackets the wanted ranks: its rank error is at most n/accuracy, and the bracket is wider than that by two
+    ranks at least and twenty at most. One aggregate on the map side counts the rows between the brackets and groups
+    the distinct values inside them, and only those are shuffled and sorted: some forty rows of a small group, a share
+    of ``10 / accuracy`` of a large one before equal values are merged. That share of one group is sorted by one task.
+    With keys the sketch, one row per group, is computed right away, so that the rows need no shuffle to meet it.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(probs)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 3.0 / accuracy
-    bounds = [b for p in probs.values() for b in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    slacks = [3 / accuracy + 2 / size for size in GROUP_SIZES]
+    bounds = [b for p in probs.values() for s in slacks for b in (max(p - s, 0.0), min(p + s, 1.0))]
     sketch = rows.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*map(F.lit, bounds)), accuracy).alias("_q"),
     )
-    small = F.col("_n") <= 10 * accuracy
-    brackets = []
-    for i, (name, p) in enumerate(probs.items()):
-        low = F.when(small | F.lit(p <= slack), F.col("_min")).otherwise(F.get("_q", F.lit(2 * i)))
-        high = F.when(small | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.get("_q", F.lit(2 * i + 1)))
-        brackets.append(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), low.alias("low"), high.alias("high")))
-    sketch = sketch.select(*keys, F.col("_n").alias("n"), F.array(*brackets).alias("_b"))
-
-    # Without keys the bracket is one value, a scalar subquery; with keys it is broadcast if there are few groups.
+    # Two ranks are 2/n; the next smaller size of the list stands for n.
+    level = sum((F.col("_n") >= size).cast("int") for size in GROUP_SIZES) - 1
+    open_ = F.col("_n") < GROUP_SIZES[0]
+    lows, highs = [], []
+    for i, p in enumerate(probs.values()):
+        at = 2 * (i * len(slacks) + level)
+        lowest = open_ | (F.get(F.array(*[F.lit(p <= s) for s in slacks]), level))
+        highest = open_ | (F.get(F.array(*[F.lit(p >= 1 - s) for s in slacks]), level))
+        lows.append(F.when(lowest, F.col("_min")).otherwise(F.get("_q", at)))
+        highs.append(F.when(highest, F.col("_max")).otherwise(F.get("_q", at + 1)))
+    sketch = sketch.select(*keys, F.col("_n").alias("n"), F.array(*lows).alias("_lows"), F.array(*highs).alias("_highs"))
+
+    # Without keys the brackets are one value, a scalar subquery; with keys they are broadcast if there are few groups.
     if keys:
         joined = rows.join(small_side(sketch), keys)
     else:
-        bracket = sketch.select(F.struct("n", "_b").alias("s")).scalar()
-        joined = rows.withColumn("s", bracket).select("_v", "s.n", "s._b")
-    spread = joined.select(*keys, "n", "_v", F.explode("_b").alias("b")).filter("_v <= b.high")
-    inside = F.when(F.col("_v") >= F.col("b.low"), F.col("_v"))
-    counts = spread.groupBy(*keys, F.col("b.name").alias("name"), F.col("b.p").alias("p"), "n", inside.alias("v")).agg(
-        F.count("*").alias("c")
+        brackets = sketch.select(F.struct("n", "_lows", "_highs").alias("s")).scalar()
+        joined = rows.withColumn("s", brackets).select("_v", "s.n", "s._lows", "s._highs")
+    each = range(len(names))
+    inside = reduce(or_, [F.col("_v").between(F.get("_lows", F.lit(i)), F.get("_highs", F.lit(i))) for i in each])
+    # A row outside all brackets counts in the gap it lies in.
+    gap = sum((F.col("_v") > F.get("_highs", F.lit(i))).cast("int") for i in each)
+    counts = joined.groupBy(*keys, "n", gap.alias("gap"), F.when(inside, F.col("_v")).alias("v")).agg(
+        F.count("*").alias("c"), F.min("_v").alias("least")
     )
-    # NULL marks everything below the bracket and sorts first, so the running count starts from it.
-    order = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
-    upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("pos", F.col("p") * (F.col("n") - 1))
-    first, last = F.floor("pos"), F.ceil("pos")
+    order = Window.partitionBy(*keys).orderBy("least")
+    ranked = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at_rank(rank: Column) -> Column:
         return F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
 
-    picked = ranked.groupBy(*keys, "name", "pos").agg(at_rank(first).alias("a"), at_rank(last).alias("b"))
-    picked = picked.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos")))
-    named = [F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in probs]
-    return picked.groupBy(*keys).agg(*named)
+    out = []
+    for name, p in probs.items():
+        place = F.lit(p) * (F.col("n") - 1)
+        out += [at_rank(F.floor(place)).alias(f"_a_{name}"), at_rank(F.ceil(place)).alias(f"_b_{name}")]
+    picked = ranked.groupBy(*keys, "n").agg(*out)
 
+    def between(name: str, p: float) -> Column:
+        place, a, b = F.lit(p) * (F.col("n") - 1), F.col(f"_a_{name}"), F.col(f"_b_{name}")
+        return (a + (b - a) * (place - F.floor(place))).alias(name)
 
-def weighted_quantiles(
-    df: DataFrame, key: str, value: str, weight: str, tau: float, bins: int = 128, passes: int = 4
-) -> dict[int, float]:
-    """Per group the smallest value whose cumulative weight reaches ``tau`` of the group's.
+    return picked.select(*keys, *[between(name, p) for name, p in probs.items()])
+
+
+def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, tau: float, bins: int = 128) -> dict[int, float]:
+    """Per group the smallest value whose cumulative weight reaches ``tau`` of the group's; exact.
 
     For few groups of unbounded size, numbered from 0, such as the leaves of a tree. Each pass cuts a group's bracket
-    into ``bins`` equal parts, sums the weights per part and keeps the part the quantile falls in, until one value is
-    left; a group that is still open after the last pass is off by at most range / bins**passes. At most ``bins`` sums
-    per group reach the driver, whatever the number of rows.
+    into ``bins`` parts, sums the weights per part and keeps the part the quantile falls in, until one value is left.
+    Parts are equal in one pass and grow by a constant factor from the lower end in the next. A pair of passes so takes
+    either many bits or many orders of magnitude off a bracket, and their number is bounded by the width of a double.
+    At most ``bins`` sums per group reach the driver, whatever the number of rows.
     """
     k, v, w = F.col(key), F.col(value), F.col(weight)
     extent = df.groupBy(k.alias("k")).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.sum(w).alias("w")).collect()
     low, high = {r.k: r.low for r in extent}, {r.k: r.high for r in extent}
     goal, below = {r.k: tau * r.w for r in extent}, {r.k: 0.0 for r in extent}
-    for _ in range(passes):
-        still_open = [g for g in low if low[g] < high[g]]
-        if not still_open:
-            break
+    growing = False
+    while still_open := [g for g in low if low[g] < high[g]]:
         size = max(still_open) + 1
         start = F.get(number_array([low[g] if g in still_open else None for g in range(size)]), k)
         end = F.get(number_array([high[g] if g in still_open else None for g in range(size)]), k)
-        part = F.least(F.floor((v - start) / (end - start) * bins), F.lit(bins - 1))
+        # Halved first, so that the widest bracket of doubles does not overflow; the narrowest then has no width left.
+        along = F.coalesce(F.try_divide(v / 2 - start / 2, end / 2 - start / 2), F.lit(0.0))
+        if growing:
+            along = F.log1p(along * SMALLEST_STEP) / F.log1p(F.lit(SMALLEST_STEP))
+        part = F.when(v == end, F.lit(bins - 1)).otherwise(F.least(F.floor(along * bins), F.lit(bins - 1)))
         sums = (
             df.filter(v.between(start, end))
             .groupBy(k.alias("k"), part.alias("part"))
@@ -109,6 +127,7 @@ def weighted_quantiles(
                     low[g], high[g] = r.low, r.high
                     break
                 below[g] += r.w
+        growing = not growing
     return high
 
 

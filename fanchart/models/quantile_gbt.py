@@ -99,14 +99,16 @@ class QuantileGBT(QuantileEstimator):
     """Boosted trees for p10, p50 and p90.
 
     ``encoding`` is how categories enter the trees: ``onehot`` makes one column per value, ``target`` the mean of the
-    category's earlier targets. A category with more than ``maxOneHot`` values uses the target mean in either case,
-    as the trees' statistics grow with the number of columns.
+    category's earlier targets. ``oneHotCols`` and ``targetCols`` name columns that are coded the one or the other way
+    whatever ``encoding`` says. The choice never depends on the data. The trees' statistics grow with the number of
+    one-hot columns, so a column with very many values is best named in ``targetCols``.
     """
 
     featureCols = Param(Params._dummy(), "featureCols", "model inputs", TypeConverters.toListString)
     catCols = Param(Params._dummy(), "catCols", "categorical inputs besides text columns", TypeConverters.toListString)
     encoding = Param(Params._dummy(), "encoding", "onehot or target", TypeConverters.toString)
-    maxOneHot = Param(Params._dummy(), "maxOneHot", "most values of a one-hot column", TypeConverters.toInt)
+    oneHotCols = Param(Params._dummy(), "oneHotCols", "always one column per value", TypeConverters.toListString)
+    targetCols = Param(Params._dummy(), "targetCols", "always the mean of earlier targets", TypeConverters.toListString)
     quantiles = Param(Params._dummy(), "quantiles", "quantiles to fit", TypeConverters.toListString)
     rounds = Param(Params._dummy(), "rounds", "trees per quantile", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "step per tree", TypeConverters.toFloat)
@@ -124,7 +126,8 @@ class QuantileGBT(QuantileEstimator):
         featureCols: list[str] | None = None,
         catCols: list[str] | None = None,
         encoding: str | None = None,
-        maxOneHot: int | None = None,
+        oneHotCols: list[str] | None = None,
+        targetCols: list[str] | None = None,
         quantiles: list[str] | None = None,
         rounds: int | None = None,
         learningRate: float | None = None,
@@ -142,7 +145,8 @@ class QuantileGBT(QuantileEstimator):
             featureCols=[],
             catCols=[],
             encoding="onehot",
-            maxOneHot=256,
+            oneHotCols=[],
+            targetCols=[],
             quantiles=list(QUANTILES),
             rounds=20,
             learningRate=0.2,
@@ -161,13 +165,16 @@ class QuantileGBT(QuantileEstimator):
         if p["encoding"] not in ("onehot", "target"):
             raise ValueError("encoding must be onehot or target")
         categorical = text_columns(df, features, p["catCols"])
-        counts = df.agg(F.count(label).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-        one_hot = [c for c in categorical if p["encoding"] == "onehot" and counts[c] <= p["maxOneHot"]]
-        by_target = [c for c in categorical if c not in one_hot]
+        if both := set(p["oneHotCols"]) & set(p["targetCols"]):
+            raise ValueError(f"columns in both oneHotCols and targetCols: {sorted(both)}")
+        default = [c for c in categorical if c not in p["oneHotCols"] and c not in p["targetCols"]]
+        by_target = [c for c in categorical if c in p["targetCols"] or c in default and p["encoding"] == "target"]
+        one_hot = [c for c in categorical if c not in by_target]
+        n = df.agg(F.count(label)).first()[0]
 
         start = exact_percentile(df, [], label, {q: QUANTILES[q] for q in p["quantiles"]}).first()
         start = {q: float(start[q]) if start and start[q] is not None else 0.0 for q in p["quantiles"]}
-        rounds = p["rounds"] if counts.n >= FEWEST_ROWS else 0
+        rounds = p["rounds"] if n >= FEWEST_ROWS else 0
         if rounds == 0:
             return self._copyValues(QuantileGBTModel(start=start))
 
@@ -183,7 +190,7 @@ class QuantileGBT(QuantileEstimator):
         try:
             with ThreadPool(min(p["parallelism"], len(start))) as pool:
                 boost = inheritable_thread_target(df.sparkSession)(
-                    lambda q: _boost(train, QUANTILES[q], start[q], rounds, counts.n, p)
+                    lambda q: _boost(train, QUANTILES[q], start[q], rounds, n, p)
                 )
                 grown = dict(zip(start, pool.map(boost, start)))
         finally:

@@ -94,7 +94,8 @@ def monthly_rollup(daily: DataFrame, p: float = 0.99) -> DataFrame:
         F.sum("qty").alias("qty"),
         F.count_if(F.col("qty") > 0).alias("sale_days"),
         F.sum("promo_flag").alias("promo_days"),
-        F.max_by("category", "date").alias("category"),
+        # Two categories on the last day: the larger one, so that the choice is stable.
+        F.max_by("category", F.struct("date", "category")).alias("category"),
     )
     share = F.least(F.greatest(F.col("promo_days") / F.dayofmonth("date"), F.lit(0.0)), F.lit(1.0))
     return summed.select(
@@ -129,12 +130,3 @@ def first_category(panel: DataFrame) -> DataFrame:
 def distinct_values(panel: DataFrame, column: str) -> DataFrame:
     """The sorted choices of a selector, such as all SKUs or all categories."""
     return panel.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
-
-
-def only(df: DataFrame, sku: str | None = None, category: str | None = None) -> DataFrame:
-    """Rows of one SKU and/or one category."""
-    if sku is not None:
-        df = df.filter(F.col("sku") == sku)
-    if category is not None:
-        df = df.filter(F.col("category") == category)
-    return df

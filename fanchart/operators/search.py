@@ -16,7 +16,7 @@ from fanchart.models.base import QuantileEstimator
 from fanchart.models.ensemble import NoValidFoldError
 from fanchart.operators.backtest import walk_forward
 
-# Search ranges (low, high). Tree counts are divided by the scale below, as a tree here is a Spark job.
+# Search ranges (low, high).
 ONE_HOT_RANGES = {
     "rounds": (300, 1400),
     "maxDepth": (4, 7),
@@ -28,7 +28,6 @@ TARGET_RANGES = {
     "maxDepth": (4, 8),
     "learningRate": (0.02, 0.2),
 }
-ROUND_SCALE = 50
 
 
 @dataclass(frozen=True)
@@ -39,7 +38,8 @@ class SearchResult:
     best: dict
 
 
-def search_ranges(encoding: str, round_scale: int = ROUND_SCALE) -> dict[str, tuple]:
+def search_ranges(encoding: str, round_scale: int = 1) -> dict[str, tuple]:
+    """The ranges of an encoding; a caller that wants a short search may divide the tree counts."""
     ranges = dict(ONE_HOT_RANGES if encoding == "onehot" else TARGET_RANGES)
     low, high = ranges["rounds"]
     ranges["rounds"] = (max(1, low // round_scale), max(1, high // round_scale))

@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from fanchart.grain import grain as grain_of
 from fanchart.models.base import QuantileModel
 from fanchart.models.closed_form import SeasonalNaive
-from fanchart.models.ensemble import QuantileEnsemble, write_report
+from fanchart.functions.dates import ISO_FORMATS
+from fanchart.models.ensemble import QuantileEnsemble, QuantileEnsembleModel, write_report
 from fanchart.models.quantile_gbt import QuantileGBT
 from fanchart.operators.backtest import prepare_features
 from fanchart.operators.features import add_features
 from fanchart.operators.forecast import recursive_forecast
 from fanchart.operators.panel import keep_lookback, require_unique_key
-from fanchart.operators.search import ROUND_SCALE, fit_best, random_search, search_ranges
+from fanchart.operators.search import fit_best, random_search, search_ranges
 from fanchart.operators.series import export_table
 from fanchart.sources.params import load_best_params, write_best_params, write_trials
 from fanchart.sources.sales import read_promo_plan, write_csv, write_forecast, write_normalised
 
 
+# Trees per quantile of the two tree experts.
+ROUNDS = {"onehot": 800, "target": 1200}
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """Settings of one run; paths may be on any file system Spark reads."""
@@ -32,13 +37,19 @@ class RunConfig:
     folds: int = 3
     eta: float = 5.0
     weighting: str = "equal"
-    lookback_months: int | None = 60
+    lookback_months: int | None = None
     halflife: int | None = 18
     search: tuple[str, ...] = ()
     search_folds: int = 4
     trials: int = 50
-    search_round_scale: int = ROUND_SCALE
-    rounds: int = 20
+    search_round_scale: int = 1
+    # Trees per quantile; None takes each encoding's own number.
+    rounds: int | None = None
+    date_formats: tuple[str, ...] = ISO_FORMATS
+    # Read daily sales and roll them up to months first.
+    roll_up: bool = False
+    calibrate_once: bool = False
+    quantiles: str = "sorted"
     joint: bool = True
     calibrate_last_k: int = 6
     clip_low: float = 0.6
@@ -77,7 +88,7 @@ def train(spark: SparkSession, config: RunConfig, panel: DataFrame) -> QuantileM
     experts = []
     for encoding in ("onehot", "target"):
         tuned = load_best_params(spark, f"{config.output_path}/best_params_{encoding}_{config.freq}") or {}
-        settings = {"rounds": config.rounds, **tuned}
+        settings = {"rounds": config.rounds or ROUNDS[encoding], **tuned}
         experts.append((encoding, QuantileGBT(featureCols=grain.feature_columns(), encoding=encoding, **settings)))
     experts.append(("snaive", SeasonalNaive(freq=config.freq)))
     ensemble = QuantileEnsemble(
@@ -95,14 +106,46 @@ def train(spark: SparkSession, config: RunConfig, panel: DataFrame) -> QuantileM
     return model
 
 
+def load_panel(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """The input as a written panel, checked."""
+    if config.roll_up and config.freq != "monthly":
+        raise ValueError("roll_up makes a monthly panel")
+    target = f"{config.output_path}/panel_{config.freq}"
+    grain = grain_of(config.freq)
+    panel = write_normalised(spark, config.input_path, target, grain, config.date_formats, config.roll_up)
+    return require_unique_key(panel)
+
+
+def search(spark: SparkSession, config: RunConfig) -> None:
+    """Only the search: trials, best parameters and fitted experts of ``config.search`` are written."""
+    grain = grain_of(config.freq)
+    recent = keep_lookback(load_panel(spark, config), config.lookback_months, grain)
+    features = prepare_features(add_features(recent, grain), grain)
+    for encoding in config.search:
+        search_and_save(spark, config, features, encoding)
+
+
+def load_model(spark: SparkSession, config: RunConfig) -> QuantileModel:
+    """The ensemble that a training run saved."""
+    return QuantileEnsembleModel.load(f"{config.output_path}/model_ensemble_{config.freq}")
+
+
 def run(spark: SparkSession, config: RunConfig) -> DataFrame:
     """Run every step and return the forecast, which is also written with its export table."""
+    panel = load_panel(spark, config)
+    return forecast(spark, config, panel, train(spark, config, panel))
+
+
+def forecast_saved(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """Forecast from the saved ensemble without training, for example with a new plan or newer sales."""
+    return forecast(spark, config, load_panel(spark, config), load_model(spark, config))
+
+
+def forecast(spark: SparkSession, config: RunConfig, panel: DataFrame, model: QuantileModel) -> DataFrame:
+    """Forecast with ``model``, write the forecast and its export table, and return it."""
     grain = grain_of(config.freq)
-    panel = write_normalised(spark, config.input_path, f"{config.output_path}/panel_{config.freq}", grain)
-    require_unique_key(panel)
-    model = train(spark, config, panel)
-    plan = read_promo_plan(spark, config.promo_path, grain) if config.promo_path else None
-    forecast = recursive_forecast(
+    plan = read_promo_plan(spark, config.promo_path, grain, config.date_formats) if config.promo_path else None
+    found = recursive_forecast(
         panel,
         model,
         grain,
@@ -112,7 +155,9 @@ def run(spark: SparkSession, config: RunConfig) -> DataFrame:
         calibrate_last_k=config.calibrate_last_k,
         clip_low=config.clip_low,
         clip_high=config.clip_high,
+        calibrate_once=config.calibrate_once,
+        quantiles=config.quantiles,
     )
-    write_forecast(forecast, f"{config.output_path}/forecast_{config.freq}")
-    write_csv(export_table(forecast, panel), f"{config.output_path}/forecast_export_{config.freq}")
-    return forecast
+    write_forecast(found, f"{config.output_path}/forecast_{config.freq}")
+    write_csv(export_table(found, panel), f"{config.output_path}/forecast_export_{config.freq}")
+    return found

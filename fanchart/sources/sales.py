@@ -2,34 +2,88 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from fanchart.functions.dates import ISO_FORMATS
+from fanchart.functions.dates import ISO_FORMATS, parse_date
 from fanchart.functions.text import normalise_sku
-from fanchart.grain import Grain
-from fanchart.operators.panel import normalise, period
+from fanchart.grain import DAILY, Grain
+from fanchart.operators.panel import monthly_rollup, normalise, period
 from fanchart.schema import FORECAST_TYPES, PANEL_DEFAULTS, PANEL_TYPES, PLAN_TYPES, require_columns
 
 # Quoted fields may hold commas and doubled quotes.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def _read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType]) -> DataFrame:
+# Headers of a folder's files are read by this many jobs at a time.
+HEADER_JOBS = 8
+NUMBERS = (T.DoubleType, T.IntegerType, T.LongType)
+
+
+class BadValuesError(ValueError):
+    """A file has dates or numbers that cannot be read."""
+
+
+def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text, with ``line``, the place of a row: file, offset of its block, number within the block.
+
+    Files of a folder may have their columns in different orders or lack some. Each distinct header is read apart and
+    the parts are united by name; a file whose header is not the one it was read with stops the read.
+    """
+    reader = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).option("enforceSchema", False)
+    files = sorted(reader.csv(path).inputFiles())
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(reader.csv(file).columns)
+
+    with ThreadPool(HEADER_JOBS) as pool:
+        headers = pool.map(inheritable_thread_target(spark)(header), files) if len(files) > 1 else [header(path)]
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file, names in zip(files, headers):
+        by_header.setdefault(names, []).append(file)
+    parts = []
+    for names, own in by_header.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        source = path if len(by_header) == 1 else own
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        parts.append(reader.schema(schema).csv(source).select(*names, place.alias("line")))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType], line: bool = False) -> DataFrame:
     """Read a CSV whose columns come in any order, every SKU as text and every date as text.
 
     The header decides which columns exist; no pass over the data infers types. Known columns are cast afterwards.
     """
-    reader = spark.read.options(**CSV_OPTIONS)
-    names = reader.option("inferSchema", False).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = reader.schema(schema).csv(path)
+    raw = _raw_csv(spark, path)
     casts = {
         name: F.col(name).try_cast(kind)
         for name, kind in types.items()
-        if name in names and name != "date" and not isinstance(kind, T.StringType)
+        if name in raw.columns and name != "date" and not isinstance(kind, T.StringType)
     }
-    return raw.withColumns(casts) if casts else raw
+    typed = raw.withColumns(casts) if casts else raw
+    return typed if line else typed.drop("line")
+
+
+def count_bad_values(
+    spark: SparkSession, path: str, types: dict[str, T.DataType], formats: tuple[str, ...] = ISO_FORMATS
+) -> dict[str, int]:
+    """Per column of ``types`` the number of texts that are not empty and cannot be read; columns without any are left
+    out. One pass over the columns in question."""
+    raw = _raw_csv(spark, path)
+    checks = {"date": parse_date(F.col("date"), formats)} if "date" in raw.columns else {}
+    checks |= {n: F.col(n).try_cast(k) for n, k in types.items() if n in raw.columns and isinstance(k, NUMBERS)}
+    bad = [F.count_if((F.trim(n) != "") & value.isNull()).alias(n) for n, value in checks.items()]
+    found = raw.agg(*bad).first().asDict() if bad else {}
+    return {name: count for name, count in found.items() if count}
 
 
 def read_sales(spark: SparkSession, path: str, grain: Grain, formats: tuple[str, ...] = ISO_FORMATS) -> DataFrame:
@@ -42,16 +96,18 @@ def read_raw_sales(spark: SparkSession, path: str) -> DataFrame:
     return _read_csv(spark, path, PANEL_TYPES)
 
 
-def read_promo_plan(spark: SparkSession, path: str, grain: Grain) -> DataFrame:
+def read_promo_plan(
+    spark: SparkSession, path: str, grain: Grain, formats: tuple[str, ...] = ISO_FORMATS
+) -> DataFrame:
     """A promotion plan CSV as (date, sku, category, promo_flag, line).
 
     ``line`` keeps the file order, which decides between two rows for one (date, sku).
     """
-    plan = _read_csv(spark, path, PLAN_TYPES).withColumn("line", F.monotonically_increasing_id())
+    plan = _read_csv(spark, path, PLAN_TYPES, line=True)
     require_columns(plan, ["date", "sku", "promo_flag"], "promo plan")
     if "category" not in plan.columns:
         plan = plan.withColumn("category", F.lit(PANEL_DEFAULTS["category"]))
-    plan = plan.withColumns({"date": period(plan, grain), "sku": normalise_sku(F.col("sku"))})
+    plan = plan.withColumns({"date": period(plan, grain, formats), "sku": normalise_sku(F.col("sku"))})
     return plan.select(*PLAN_TYPES, "line")
 
 
@@ -66,11 +122,28 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("year")
 
 
-def write_normalised(spark: SparkSession, source: str, target: str, grain: Grain) -> DataFrame:
-    """Normalise a sales CSV into a new panel and read that back; the source is never overwritten."""
+def write_normalised(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    grain: Grain,
+    formats: tuple[str, ...] = ISO_FORMATS,
+    roll_up: bool = False,
+) -> DataFrame:
+    """Normalise a sales CSV into a new panel and read that back; the source is never overwritten.
+
+    ``roll_up`` takes daily rows and sums them to months. Raises :class:`BadValuesError` with the counts if dates or
+    numbers cannot be read, instead of dropping rows.
+    """
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("target must differ from source: Spark cannot overwrite what it reads")
-    write_panel(read_sales(spark, source, grain), target)
+    if bad := count_bad_values(spark, source, PANEL_TYPES, formats):
+        raise BadValuesError(f"{source} has values that cannot be read, by column: {bad}; date formats are {formats}")
+    if roll_up:
+        panel = normalise(monthly_rollup(read_sales(spark, source, DAILY, formats)), grain)
+    else:
+        panel = read_sales(spark, source, grain, formats)
+    write_panel(panel, target)
     return read_panel(spark, target)
 
 

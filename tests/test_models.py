@@ -97,10 +97,13 @@ def test_trees_beat_the_constant_and_cover(spark, features, encoding, tmp_path):
     assert model.transform(unseen).first().p50 is not None
 
 
-def test_many_valued_category_is_not_one_hot(features):
-    expert = QuantileGBT(featureCols=["sku", "category", "y_lag12"], encoding="onehot", maxOneHot=10, rounds=1)
-    model = expert.fit(features)
+def test_named_columns_choose_their_coding(features):
+    inputs = ["sku", "category", "y_lag12"]
+    model = QuantileGBT(featureCols=inputs, encoding="onehot", targetCols=["sku"], rounds=1).fit(features)
     assert list(model.codes) == ["sku"] and model.transform(features).count() == features.count()
+    model = QuantileGBT(featureCols=inputs, encoding="target", oneHotCols=["category"], rounds=1).fit(features)
+    assert list(model.codes) == ["sku"]
+    assert QuantileGBT(featureCols=inputs, rounds=1).fit(features).codes == {}
 
 
 def test_too_few_rows_give_constants(spark):

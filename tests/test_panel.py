@@ -133,7 +133,7 @@ def test_weighted_quantiles_against_brute_force(spark):
         (F.col("id") % 3).cast("int").alias("leaf"), (F.randn(1) * 50).alias("v"), F.rand(2).alias("w")
     ).cache()
     for tau in (0.1, 0.5, 0.9):
-        found = weighted_quantiles(rows, "leaf", "v", "w", tau, bins=16, passes=12)
+        found = weighted_quantiles(rows, "leaf", "v", "w", tau, bins=16)
         for leaf, group in rows.toPandas().groupby("leaf"):
             group = group.sort_values("v")
             reached = group.w.cumsum() >= tau * group.w.sum()
@@ -143,3 +143,13 @@ def test_weighted_quantiles_against_brute_force(spark):
 def test_weighted_quantiles_of_one_value(spark):
     rows = spark.createDataFrame([(0, 4.0, 1.0), (0, 4.0, 0.1), (2, 1.0, 1.0)], "leaf int, v double, w double")
     assert weighted_quantiles(rows, "leaf", "v", "w", 0.9) == {0: 4.0, 2: 1.0}
+
+
+def test_weighted_quantiles_of_heavy_tails(spark):
+    values = [2.0**i for i in range(201)]
+    rows = spark.createDataFrame([(0, v, 1.0) for v in values] + [(1, -v, 1.0) for v in values], "leaf int, v double, w double")
+    assert weighted_quantiles(rows, "leaf", "v", "w", 0.5) == {0: 2.0**100, 1: -(2.0**100)}
+    wide = [-1.7e308, -1e-300, 0.0, 5e-324, 1e-300, 1.0, 1.7e308]
+    rows = spark.createDataFrame([(0, v, 1.0) for v in wide], "leaf int, v double, w double")
+    for i, v in enumerate(wide):
+        assert weighted_quantiles(rows, "leaf", "v", "w", (i + 0.9) / len(wide)) == {0: v}

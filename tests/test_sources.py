@@ -4,8 +4,8 @@ import pytest
 
 from fanchart.functions.dates import MONTH_FIRST_FORMATS
 from fanchart.grain import DAILY, MONTHLY
-from fanchart.plans.run import RunConfig, run
-from fanchart.schema import MissingColumnError
+from fanchart.plans.run import RunConfig, forecast_saved, load_panel, run
+from fanchart.schema import PANEL_TYPES, MissingColumnError
 from fanchart.session import small_side
 from fanchart.sources import params, sales
 from fanchart.sources.synthetic import demo_items, synthetic_panel
@@ -89,7 +89,7 @@ def test_whole_run(spark, tmp_path):
     (tmp_path / "plan.csv").write_text("date,sku,promo_flag\n2025-01-15,ALL,1\n", encoding="utf-8")
     config = RunConfig(
         input_path=str(tmp_path / "in"), output_path=str(tmp_path / "out"), horizon=3, rounds=2, trials=2,
-        search=("target",), search_round_scale=600, search_folds=2, calibrate_last_k=3, promo_path=str(tmp_path / "plan.csv"),
+        search=("target",), search_round_scale=600, search_folds=2, lookback_months=60, calibrate_last_k=3, promo_path=str(tmp_path / "plan.csv"),
     )
     forecast = run(spark, config).collect()
     assert len(forecast) == 9 and all(0 <= r.p10 <= r.p50 <= r.p90 for r in forecast)
@@ -101,5 +101,35 @@ def test_whole_run(spark, tmp_path):
         "panel_monthly", "search_trials_target_monthly", "best_params_target_monthly", "model_target_monthly_best",
         "model_ensemble_monthly", "ensemble_report_monthly", "forecast_monthly", "forecast_export_monthly",
     }
+    again = forecast_saved(spark, config)
+    assert sorted(again.collect()) == sorted(forecast)
     report = spark.read.json(str(tmp_path / "out" / "ensemble_report_monthly")).first()
     assert [e["name"] for e in report.experts] == ["onehot", "target", "snaive"] and report.rows == 3 * 49
+
+
+def test_columns_in_different_orders_and_missing_ones(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("date,sku,qty,promo_flag\n2024-01-31,A,5,1\n", encoding="utf-8")
+    (tmp_path / "in" / "b.csv").write_text("sku,date,promo_flag,qty\nB,2024-02-29,0,7\n", encoding="utf-8")
+    (tmp_path / "in" / "c.csv").write_text("qty,sku,date\n9,C,2024-03-31\n", encoding="utf-8")
+    rows = sales.read_sales(spark, str(tmp_path / "in"), MONTHLY).orderBy("sku").collect()
+    assert [(r.sku, str(r.date), r.qty) for r in rows] == [("A", "2024-01-31", 5), ("B", "2024-02-29", 7), ("C", "2024-03-31", 9)]
+    assert [r.promo_flag for r in rows][:2] == [1, 0]
+
+
+def test_bad_values_are_counted(spark, tmp_path):
+    path = str(tmp_path / "bad.csv")
+    (tmp_path / "bad.csv").write_text("date,sku,qty\n1.6.2024,A,5\n8.22.2025,A,x\n,A,\n2024-01-01,A,3\n", encoding="utf-8")
+    assert sales.count_bad_values(spark, path, PANEL_TYPES) == {"date": 2, "qty": 1}
+    assert sales.count_bad_values(spark, path, PANEL_TYPES, MONTH_FIRST_FORMATS) == {"qty": 1}
+    with pytest.raises(sales.BadValuesError, match="'date': 2"):
+        sales.write_normalised(spark, path, str(tmp_path / "out"), MONTHLY)
+
+
+def test_daily_file_rolled_up(spark, tmp_path):
+    (tmp_path / "daily.csv").write_text("date,sku,qty\n1.6.2024,A,5\n1.8.2024,A,7\n2.1.2024,A,1\n", encoding="utf-8")
+    config = RunConfig(
+        input_path=str(tmp_path / "daily.csv"), output_path=str(tmp_path / "out"), roll_up=True, date_formats=MONTH_FIRST_FORMATS
+    )
+    rows = load_panel(spark, config).orderBy("date").collect()
+    assert [str(r.date) for r in rows] == ["2024-01-31", "2024-02-29"] and rows[0].qty == pytest.approx(11.96)
