@@ -4,8 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_point
+from fanchart.plans.oracles import oracle_sql
+from fanchart.plans.queries import registered
 
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, SQL = registered(), oracle_sql()
 FITTED = {"quantile_gbt_onehot", "quantile_gbt_target", "hyperparameter_search"}
 
 
@@ -14,6 +16,10 @@ def con(sf_dir):
     return compare.connect(sf_dir)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
+
+
 def test_only_fitted_trees_lack_sql():
     assert set(QUERIES) - set(SQL) == FITTED
     assert set(SQL) <= set(QUERIES)
