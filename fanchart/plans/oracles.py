@@ -242,6 +242,8 @@ def oracle_sql() -> dict[str, str]:
 
     every = "sku, category, cast(date as varchar) as date, qty, promo_flag, oos_flag, comp_price_index, comp_qty_index, comp_promo_flag"
     sql["panel_monthly"] = f"{with_(month)} select {every} from panel"
+    reread = every.replace("comp_promo_flag", "case when year(date) % 2 = 1 then 0 else comp_promo_flag end as comp_promo_flag")
+    sql["csv_round_trip"] = f"{with_(month)} select {reread} from panel"
     sql["panel_daily"] = f"{with_(day)} select {every} from panel"
     sql["panel_extent"] = (
         f"{with_(month)} select count(distinct date) as months, count(distinct sku) as skus from panel"

@@ -29,6 +29,8 @@ from fanchart.operators.search import random_search
 from fanchart.operators.weights import add_training_weight
 from fanchart.plans.tables import daily_sales, last_year_plan, sales_panel, table, written_panel
 from fanchart.schema import QUANTILES
+from fanchart.session import cut_lineage, scratch_path
+from fanchart.sources.sales import write_csv, write_normalised
 from fanchart.sources.synthetic import synthetic_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +79,18 @@ def panel_daily(spark, sf_dir):
     return sales_panel(spark, sf_dir, DAILY)
 
 
+def csv_round_trip(spark, sf_dir):
+    """The panel written as CSV files with two headers, read as one folder, normalised, written and read again."""
+    panel = sales_panel(spark, sf_dir, MONTHLY).withColumnRenamed("sku", "SKU")
+    panel = cut_lineage(panel.withColumn("date", F.date_format("date", "yyyy-M-d")))
+    folder = scratch_path(spark)
+    odd = F.split("date", "-")[0].cast("int") % 2 == 1
+    turned = [c for c in reversed(panel.columns) if c != "comp_promo_flag"]
+    write_csv(panel.filter(~odd), f"{folder}/in/even")
+    write_csv(panel.filter(odd).select(*turned), f"{folder}/in/odd")
+    return write_normalised(spark, f"{folder}/in/*", f"{folder}/panel", MONTHLY)
+
+
 def panel_extent(spark, sf_dir):
     return pn.panel_extent(sales_panel(spark, sf_dir, MONTHLY))
 
@@ -429,6 +443,7 @@ def synthetic(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "panel_monthly": panel_monthly,
+    "csv_round_trip": csv_round_trip,
     "panel_daily": panel_daily,
     "panel_extent": panel_extent,
     "sku_normalise": sku_normalise,

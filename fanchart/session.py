@@ -41,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/fanchart/{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
 def cut_lineage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Write ``df`` (or only ``columns`` of it) to the shared folder and go on from there.
 
@@ -50,9 +57,8 @@ def cut_lineage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     spark = df.sparkSession
     if columns is not None:
         df = df.select(*columns)
-    path = f"{shared_folder(spark)}/fanchart/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,8 @@ def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with ``line``, the place of a row: file, offset of its block, number within the block.
 
     Files of a folder may have their columns in different orders or lack some. Each distinct header is read apart and
-    the parts are united by name; a file whose header is not the one it was read with stops the read.
+    the parts are united by name; a file whose header is not the one it was read with stops the read. A column that a
+    file lacks and others have gets the panel's default in its rows, as it would if all files lacked it.
     """
     reader = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).option("enforceSchema", False)
     files = sorted(reader.csv(path).inputFiles())
@@ -55,6 +56,10 @@ def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         )
         parts.append(reader.schema(schema).csv(source).select(*names, place.alias("line")))
+    everywhere = {name for names in by_header for name in names}
+    for i, part in enumerate(parts):
+        absent = [c for c in PANEL_DEFAULTS if c in everywhere and c not in part.columns]
+        parts[i] = part.withColumns({c: F.lit(str(PANEL_DEFAULTS[c])) for c in absent}) if absent else part
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
