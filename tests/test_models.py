@@ -163,11 +163,11 @@ def test_saved_naive(spark, features, tmp_path):
 def test_search_ranges_and_draws():
     import random
 
-    assert search_ranges("onehot")["rounds"] == (6, 28) and "minInstancesPerNode" not in search_ranges("target")
+    assert search_ranges("onehot")["rounds"] == (300, 1400) and "minInstancesPerNode" not in search_ranges("target")
     rng = random.Random(1)
     for _ in range(200):
         p = draw(search_ranges("onehot"), rng)
-        assert 6 <= p["rounds"] <= 28 and 0.02 <= p["learningRate"] <= 0.2 and 4 <= p["maxDepth"] <= 7
+        assert 300 <= p["rounds"] <= 1400 and 0.02 <= p["learningRate"] <= 0.2 and 4 <= p["maxDepth"] <= 7
 
 
 def test_search_picks_the_smallest_loss(features):
