@@ -49,15 +49,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     size = min(shingle, len(words))
-    starts = [0, *(ends[: len(words) - size] + 1).tolist()]
-    pieces = [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist())]
+    starts, ends = np.append(0, ends[: len(words) - size] + 1), ends[size - 1 :]
     total = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(pieces), _COUNTED):
-        part = pieces[at : at + _COUNTED]
+    for at in range(0, len(starts), _COUNTED):
+        part = [joined[a:b] for a, b in zip(starts[at : at + _COUNTED].tolist(), ends[at : at + _COUNTED].tolist())]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), dtype="<u8", count=len(part))
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(pieces), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * total > len(starts), bitorder="little").tobytes(), "little")
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
