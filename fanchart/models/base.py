@@ -21,11 +21,11 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from fanchart.schema import QUANTILES
 
-__all__ = ["HasPanelParams", "QuantileEstimator", "QuantileModel", "keyword_only"]
+__all__ = ["HasPanelParams", "QuantileEstimator", "QuantileModel", "keyword_only", "text_columns"]
 
 
 class HasPanelParams(Params):
@@ -110,3 +110,9 @@ class QuantileModel(Model, HasPanelParams, MLWritable, MLReadable):
     @classmethod
     def _restore(cls, spark: SparkSession, path: str, state: dict):
         raise NotImplementedError
+
+
+def text_columns(df: DataFrame, features: list[str], named: list[str]) -> list[str]:
+    """Categorical features: the named ones and every text column."""
+    is_text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return [c for c in features if c in named or c in is_text]

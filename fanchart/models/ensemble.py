@@ -10,7 +10,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fanchart.grain import grain as grain_of
-from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only
+from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only, text_columns
 from fanchart.operators.backtest import mean_scores, walk_forward
 from fanchart.operators.weights import add_training_weight
 from fanchart.schema import QUANTILES
@@ -121,14 +121,21 @@ class NoValidFoldError(ValueError):
 def training_report(df: DataFrame, settings: dict, experts: list[tuple[str, QuantileEstimator]]) -> DataFrame:
     """One row about a training: settings, size and date range of the data, and the experts."""
     described = []
+
+    def names(columns: list[str] | None) -> Column:
+        return F.array(*map(F.lit, columns)) if columns else F.lit(None).cast("array<string>")
+
     for name, expert in experts:
         own = expert.settings()
         columns = own.get("featureCols")
+        categorical = text_columns(df, columns, own.get("catCols") or []) if columns else None
+        # Fixed names: fields of the report.
         described.append(
             F.struct(
                 F.lit(name).alias("name"),
                 F.lit(type(expert).__name__).alias("class"),
-                (F.array(*map(F.lit, columns)) if columns else F.lit(None).cast("array<string>")).alias("feature_names"),
+                names(columns).alias("feature_names"),
+                names(categorical).alias("cat_cols"),
             )
         )
     size = df.agg(F.count("*").alias("rows"), F.min("date").alias("date_min"), F.max("date").alias("date_max"))

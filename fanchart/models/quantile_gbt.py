@@ -17,10 +17,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
 from pyspark.ml.wrapper import JavaWrapper
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fanchart.functions.quantiles import exact_percentile, number_array, weighted_quantiles
-from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only
+from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only, text_columns
 from fanchart.schema import QUANTILES
 from fanchart.session import cut_lineage, small_side
 
@@ -39,12 +39,6 @@ def softened(min_leaf: int, depth: int, n: int) -> tuple[int, int]:
     return max(1, min(min_leaf, n // 10)), max(1, min(depth, int(math.log2(max(2, n - 1)))))
 
 
-def text_columns(df: DataFrame, features: list[str], named: list[str]) -> list[str]:
-    """Categorical features: the named ones and every text column."""
-    is_text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    return [c for c in features if c in named or c in is_text]
-
-
 def target_means_by_date(train: DataFrame, column: str, label: str) -> DataFrame:
     """Mean target of a category before each date, as (column, date, code).
 
@@ -68,23 +62,11 @@ def target_means_by_date(train: DataFrame, column: str, label: str) -> DataFrame
 def overall_mean_by_date(train: DataFrame, label: str) -> DataFrame:
     """Mean target of all rows before each date (0 on the first), as (date, prior).
 
-    One row per date is collected into an array and spread again, so no window runs over a whole table.
+    The window runs over one row per date, so the calendar bounds it, whatever the number of rows.
     """
     dates = train.groupBy("date").agg(F.sum(label).alias("s"), F.count(label).alias("c"))
-    packed = dates.agg(F.array_sort(F.collect_list(F.struct("date", "s", "c"))).alias("d"))
-    none = F.array().cast("array<struct<date:date,prior:double>>")
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"), none.alias("out"))
-
-    def step(acc, row):
-        prior = F.when(acc["c"] > 0, acc["s"] / acc["c"]).otherwise(0.0)
-        point = F.struct(row["date"].alias("date"), prior.alias("prior"))
-        return F.struct(
-            (acc["s"] + F.coalesce(row["s"], F.lit(0.0))).alias("s"),
-            (acc["c"] + row["c"]).alias("c"),
-            F.concat(acc["out"], F.array(point)).alias("out"),
-        )
-
-    return packed.select(F.inline(F.aggregate("d", zero, step)["out"]))
+    earlier = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    return dates.select("date", F.coalesce(F.try_divide(F.sum("s").over(earlier), F.sum("c").over(earlier)), F.lit(0.0)).alias("prior"))
 
 
 def target_means(train: DataFrame, column: str, label: str) -> DataFrame:

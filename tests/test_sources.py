@@ -105,6 +105,7 @@ def test_whole_run(spark, tmp_path):
     assert sorted(again.collect()) == sorted(forecast)
     report = spark.read.json(str(tmp_path / "out" / "ensemble_report_monthly")).first()
     assert [e["name"] for e in report.experts] == ["onehot", "target", "snaive"] and report.rows == 3 * 49
+    assert set(report.experts[0].cat_cols) <= set(report.experts[0].feature_names) and report.experts[2].cat_cols is None
 
 
 def test_columns_in_different_orders_and_missing_ones(spark, tmp_path):
