@@ -2,16 +2,16 @@
 
 Heuristic labellers vote keep, reject or abstain on every document. Several look for the same fault. For each fault,
 expectation-maximisation over the counts of all vote patterns estimates the accuracies of its labellers and gives every
-pattern the probability that the fault is absent; a document's posterior is the product over the faults. Posteriors of a bounded sample train
-a hashed linear scorer, which sees the words and the votes, and which decides on every document.
+pattern the probability that the fault is absent; a document's posterior is the product over the faults. Posteriors of a
+bounded sample train a hashed linear scorer, which sees the words and the votes, and which decides on every document.
 
 Counts of vote patterns cover all documents; there are at most 3^labellers of them, so they fit on the driver whatever
 the input. The word list of the last two labellers comes from labelled rows, at most ``LABELLED`` of them; the scorer is
-fitted on at most ``FITTED`` documents. Both samples take the smallest hashes of ids, so they do not depend on order.
+fitted on at most ``FITTED`` documents with ``FITTED_FEATURES`` features. Both samples take the smallest hashes of ids,
+so they do not depend on order.
 
-Null and empty texts have no words; only the labellers for emptiness reject them. Repeated rows
-count as often as they occur. Without labels the word list is empty and its labellers abstain. An empty table gives an
-empty result.
+Null and empty texts have no words; only the labellers for emptiness reject them. Repeated rows count as often as they
+occur. Without labels the word list is empty and its labellers abstain. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from fanchart.llm.arrow import map_rows
 from fanchart.llm.decontaminate import words_of
+from fanchart.llm.sampling import smallest_hashes
 
 KEEP, REJECT, ABSTAIN = "k", "r", "a"
 # Bounds of the two samples, of the word list, and the number of hashed features.
-LABELLED, FITTED, LISTED, FEATURES = 20_000, 12_000, 4_000, 1 << 18
+LABELLED, FITTED, LISTED, FEATURES = 20_000, 8_000, 4_000, 1 << 17
+# The documents that the scorer is fitted on have at most about this many features together.
+FITTED_FEATURES = 3_000_000
 # A listed word would be in toxic documents alone with at most this probability, were it spread by chance.
 CHANCE = 1e-6
 # Shares of faulty and sound documents to start from; they stand where no labeller votes.
@@ -87,7 +90,8 @@ def votes_of(text: str | None, words: list[bytes], listed: frozenset[bytes], pre
 
 def unwanted_words(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[frozenset, frozenset]:
     """(words, word beginnings) that mark toxic documents, from at most ``limit`` labelled rows and ``LISTED`` words."""
-    sample = labels.filter("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    known = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic")
+    sample = smallest_hashes(known, "doc_id", known.count(), limit)
     totals = sample.groupBy("toxic").count().collect()
     n = {r.toxic: r["count"] for r in totals}
     if not n.get(1) or not n.get(0):
@@ -169,8 +173,9 @@ def scales_of(features: np.ndarray) -> np.ndarray:
 
 def fit_scorer(features: list[np.ndarray], goal: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights of the features, and the intercept last, of a logistic scorer for soft labels ``goal``: full-batch Adam."""
-    index, row = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
-    scale = np.concatenate([scales_of(f) for f in features])
+    index = np.concatenate(features)
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    scale = np.concatenate([scales_of(f) for f in features]).astype(np.float32)
     size = FEATURES + 3 * len(LABELLERS)
     weights = np.zeros(size + 1)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
@@ -227,19 +232,24 @@ def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED, labelled: int
 
         def featured(text: str | None) -> tuple:
             words, own = votes(text)
-            return own, features_of(words, own).tolist()
+            return own, features_of(words, own).astype(np.int32).tobytes()
 
         return featured
 
-    # The smallest hashes of the ids: first the ids alone, then the texts of those.
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = docs.select("doc_id").orderBy(*order).limit(fitted).distinct()
+    # First the ids alone, then the texts of those.
+    total = sum(n for _, n in patterns)
+    chosen = smallest_hashes(docs.select("doc_id"), "doc_id", total, fitted).distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = map_rows(texts, ["text"], {"votes": "string", "features": "array<int>"}, start_features)
-    rows = sample.orderBy(*order).select("votes", "features").limit(fitted).collect()
-    if rows:
-        goal = np.array([classifier.posterior[r.votes] for r in rows])
-        classifier.weights = fit_scorer([np.array(r.features) for r in rows], goal).astype(np.float32)
+    sample = map_rows(texts, ["text"], {"votes": "string", "features": "binary"}, start_features)
+    features, goal, size = [], [], 0
+    for row in sample.select("votes", "features").limit(fitted).toLocalIterator():
+        features.append(np.frombuffer(row.features, dtype=np.int32))
+        goal.append(classifier.posterior[row.votes])
+        size += len(features[-1])
+        if size > FITTED_FEATURES:
+            break
+    if features:
+        classifier.weights = fit_scorer(features, np.array(goal)).astype(np.float32)
     return classifier
 
 
