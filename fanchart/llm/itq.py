@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fanchart.llm.arrow import bounds, map_groups, map_rows, ship_package
 from fanchart.llm.components import connected_components
+from fanchart.llm.sampling import smallest_hashes
 from fanchart.llm.simhash import chunked
 from fanchart.session import cut_lineage
 
@@ -110,7 +111,7 @@ def nearest_links(vectors: DataFrame, threshold: float = THRESHOLD, group: int =
     ship_package(spark)
     extent = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size")).first()
     size = extent["size"] or 1
-    sample = vectors.select("embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = smallest_hashes(vectors.select("id", "embedding"), "id", extent["n"], SAMPLE).collect()
     rotation = Rotation(unit_vectors([r.embedding for r in sample], size)) if sample else None
     shared = spark.sparkContext.broadcast(rotation)
     masks = tables_for(key_bits(extent["n"]), threshold)
