@@ -6,12 +6,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first ``depth`` symbols at least, by prefix doubling. Suffixes that agree so far keep the order
-    of their positions, which is enough to search for patterns shorter than ``depth``."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shared): suffixes by their first ``depth`` symbols at least, by prefix doubling, and how many symbols each
+    shares with the one before it, as far as the order goes. Suffixes that agree so far keep the order of their
+    positions, which is enough to search for patterns shorter than ``depth``."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     order, known = np.argsort(rank, kind="stable"), 1
+    levels = [(1, rank.astype(np.int32))]
     while known < depth:
         second = np.zeros(n, dtype=np.int64)
         second[: max(n - known, 0)] = rank[known:] + 1
@@ -22,9 +24,18 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, dtype=np.int64)
         rank[order] = steps
         known *= 2
+        levels.append((known, rank.astype(np.int32)))
         if n and steps[-1] == n - 1:
             break
-    return order
+    shared = np.zeros(n + 1, dtype=np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for length, ranks in reversed(levels):
+        inside = np.maximum(a, b) < n
+        same = inside & (ranks[np.where(inside, a, 0)] == ranks[np.where(inside, b, 0)])
+        shared[1:n][same] += length
+        a[same] += length
+        b[same] += length
+    return order, shared
 
 
 class RankedBits:
@@ -54,36 +65,51 @@ class WaveletMatrix:
             self.levels.append(RankedBits(bits))
             symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
 
+        every = np.arange(alphabet)
+        self.block = self._path(every, np.zeros(alphabet, dtype=np.int64))
+
     def before(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each ``symbol`` occurs before each position."""
-        start = np.zeros_like(at)
+        return self._path(symbol, at) - self.block[symbol]
+
+    def _path(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a position ends up, going down the levels with a symbol's bits."""
         for level, bits in zip(range(self.bits - 1, -1, -1), self.levels):
-            one = symbol >> level & 1
-            ends_one, starts_one = bits.ones(at), bits.ones(start)
-            at = np.where(one, bits.zeros + ends_one, at - ends_one)
-            start = np.where(one, bits.zeros + starts_one, start - starts_one)
-        return at - start
+            ones = bits.ones(at)
+            at = np.where(symbol >> level & 1, bits.zeros + ones, at - ones)
+        return at
 
 
 class RangeMinimum:
     """Least value of any range, from minima of ranges of powers of two."""
 
     def __init__(self, values: np.ndarray):
-        self.rows = [values]
-        width = 1
+        self.size = len(values)
+        rows, width = [values], 1
         while 2 * width <= len(values):
-            last = self.rows[-1]
-            self.rows.append(np.minimum(last[:-width], last[width:]))
+            last = rows[-1]
+            rows.append(np.minimum(last[:-width], last[width:]))
             width *= 2
-        self.table = np.zeros((len(self.rows), len(values)), dtype=values.dtype)
-        for row, own in zip(self.table, self.rows):
+        self.table = np.zeros((len(rows), len(values)), dtype=values.dtype)
+        for row, own in zip(self.table, rows):
             row[: len(own)] = own
-        self.rows = None
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         level = np.frexp((high - low).astype(np.float64))[1] - 1
         return np.minimum(self.table[level, low], self.table[level, high - (1 << level)])
 
+    def reach(self, at: np.ndarray, bound: np.ndarray, step: int) -> np.ndarray:
+        """How far from ``at``, going right (step 1) or left (-1), all values are at least ``bound``: the first position
+        that is not."""
+        at = at.copy()
+        for level in range(len(self.table) - 1, -1, -1):
+            width = 1 << level
+            first = at if step > 0 else at - width + 1
+            fits = (first >= 0) & (first + width <= self.size)
+            fits &= self.table[level, np.where(fits, first, 0)] >= bound
+            at += np.where(fits, step * width, 0)
+        return at
+
 
 class FMIndex:
     """``text`` holds symbols from 1, with 0 between documents; ``owner`` gives each position's document number.
@@ -92,11 +118,12 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
-        order = suffix_order(text, depth)
+        order, shared = suffix_order(text, depth)
         alphabet = int(text.max()) + 1 if len(text) else 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))]).astype(np.int64)
         self.transform = WaveletMatrix(text[order - 1], alphabet)
         self.owners = RangeMinimum(owner[order])
+        self.shared = RangeMinimum(np.minimum(shared, 255).astype(np.uint8))
         self.size = len(text)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,55 +132,46 @@ class FMIndex:
         both = self.transform.before(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         return self.first[symbol] + both[:n], self.first[symbol] + both[n:]
 
+    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, low, high): each pattern cut from the right until it has a larger suffix range."""
+        length = np.maximum(self.shared.table[0, low], self.shared.table[0, high])
+        return length.astype(np.int64), self.shared.reach(low, length, -1), self.shared.reach(high, length, 1)
+
 
 def matched_stretches(index: FMIndex, text: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, least: int):
     """(sequence, first, end) of the longest stretches of at least ``least`` symbols that also occur in a document with
     a smaller number than the sequence's own, for the sequences text[start:end].
 
-    Matching statistics by backward search: from an end position a match grows to the left while its suffix range holds
-    a smaller document. Where it stops, short probes to the right of the stop tell how far the end may jump to the left,
-    since no later match can hold what a probe has not found.
+    Matching statistics by backward search: a match grows to the left while its suffix range holds a smaller document,
+    and where it stops it is cut from the right until its range is larger. A symbol that no smaller document has is
+    passed over. A sequence takes at most some two steps per symbol; all sequences step together.
     """
-    probes = (4, 8, 16, 32)
-    alive = np.flatnonzero(end - start >= least)
-    at_end = end.copy()  # exclusive end of the match being grown
+    at, length = end.copy(), np.zeros(len(start), dtype=np.int64)
+    low, high = np.zeros(len(start), dtype=np.int64), np.full(len(start), index.size, dtype=np.int64)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(alive):
-        stop = _grow(index, text, start[alive], at_end[alive], owner[alive])
-        long = at_end[alive] - stop >= least
-        found.append((alive[long], stop[long], at_end[alive][long]))
-        going = stop > start[alive]
-        alive, stop = alive[going], stop[going]
-        # text[stop - 1 : at_end] is not found. The shortest probe from stop - 1 that is not found bounds the next end.
-        bad = stop - 1
-        next_end = at_end[alive] - 1
-        open_ = np.arange(len(alive))
-        for length in probes:
-            fits = bad[open_] + length < at_end[alive][open_]
-            open_ = open_[fits]
-            if not len(open_):
-                break
-            reached = _grow(index, text, bad[open_], bad[open_] + length, owner[alive][open_])
-            missed = reached > bad[open_]
-            next_end[open_[missed]] = bad[open_[missed]] + length - 1
-            open_ = open_[~missed]
-        at_end[alive] = next_end
-        alive = alive[at_end[alive] - start[alive] >= least]
-    return tuple(np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 3
-
-
-def _grow(index: FMIndex, text: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each end the leftmost position, not before ``start``, from which a match with a smaller document runs to it."""
-    at = end.copy()
-    low, high = np.zeros(len(end), dtype=np.int64), np.full(len(end), index.size, dtype=np.int64)
-    going = np.flatnonzero(at > start)
+
+    def stretch(q: np.ndarray) -> None:
+        q = q[length[q] >= least]
+        found.append((q, at[q].copy(), at[q] + length[q]))
+
+    going = np.flatnonzero(end - start >= least)
     while len(going):
         new_low, new_high = index.extend(text[at[going] - 1], low[going], high[going])
-        some = new_high > new_low
-        going, new_low, new_high = going[some], new_low[some], new_high[some]
-        earlier = index.owners.least(new_low, new_high) < owner[going]
-        going, new_low, new_high = going[earlier], new_low[earlier], new_high[earlier]
-        at[going] -= 1
-        low[going], high[going] = new_low, new_high
-        going = going[at[going] > start[going]]
-    return at
+        match = new_high > new_low
+        match[match] = index.owners.least(new_low[match], new_high[match]) < owner[going[match]]
+        on, off = going[match], going[~match]
+        at[on] -= 1
+        length[on] += 1
+        low[on], high[on] = new_low[match], new_high[match]
+        stretch(on[at[on] == start[on]])
+        # What is stopped was as long as it gets, unless it was cut just before: then it lies inside what was found.
+        stretch(off)
+        empty = off[length[off] == 0]
+        at[empty] -= 1
+        cut = off[length[off] > 0]
+        length[cut], low[cut], high[cut] = index.shorten(low[cut], high[cut])
+        low[cut[length[cut] == 0]], high[cut[length[cut] == 0]] = 0, index.size
+        # No window is left once the match and all symbols before it are too few.
+        going = going[(at[going] > start[going]) & (length[going] + at[going] - start[going] >= least)]
+    none = np.empty(0, dtype=np.int64)
+    return tuple(np.concatenate([none, *x]) for x in zip(*found)) if found else (none,) * 3

@@ -33,7 +33,7 @@ from fanchart.session import cut_lineage
 
 WINDOW = 50
 # Words of an anchor's run, words per shard, segments per shard of a hot anchor, and symbols that suffixes are sorted by.
-RUN, SHARD_WORDS, GROUP, DEPTH = 8, 400_000, 4_000, 128
+RUN, SHARD_WORDS, GROUP, DEPTH = 8, 800_000, 4_000, 128
 
 
 def words_of(text: str | None) -> list[bytes]:
