@@ -7,8 +7,8 @@ bounded sample train a hashed linear scorer, which sees the words and the votes,
 
 Counts of vote patterns cover all documents; there are at most 3^labellers of them, so they fit on the driver whatever
 the input. The word list of the last two labellers comes from labelled rows, at most ``LABELLED`` of them; the scorer is
-fitted on at most ``FITTED`` documents with ``FITTED_FEATURES`` features. Both samples take the smallest hashes of ids,
-so they do not depend on order.
+fitted on ``FITTED`` documents, all features of each, by a Spark job a step. Both samples take the
+smallest hashes of ids, so they do not depend on order; rows of equal ids are fitted on together.
 
 Null and empty texts have no words; only the labellers for emptiness reject them. Repeated rows count as often as they
 occur. Without labels the word list is empty and its labellers abstain. An empty table gives an empty result.
@@ -17,20 +17,23 @@ occur. Without labels the word list is empty and its labellers abstain. An empty
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from fanchart.llm.arrow import map_rows
 from fanchart.llm.decontaminate import words_of
 from fanchart.llm.sampling import smallest_hashes
+from fanchart.session import cut_lineage
 
 KEEP, REJECT, ABSTAIN = "k", "r", "a"
 # Bounds of the two samples, of the word list, and the number of hashed features.
-LABELLED, FITTED, LISTED, FEATURES = 20_000, 8_000, 4_000, 1 << 17
-# The documents that the scorer is fitted on have at most about this many features together.
-FITTED_FEATURES = 3_000_000
+LABELLED, FITTED, LISTED, FEATURES = 20_000, 12_000, 4_000, 1 << 18
+# Tasks of one step of the scorer's fit, at most.
+FIT_TASKS = 32
 # A listed word would be in toxic documents alone with at most this probability, were it spread by chance.
 CHANCE = 1e-6
 # Shares of faulty and sound documents to start from; they stand where no labeller votes.
@@ -171,23 +174,47 @@ def scales_of(features: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(words, 1 / np.sqrt(max(words, 1))), np.ones(len(LABELLERS))])
 
 
-def fit_scorer(features: list[np.ndarray], goal: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the features, and the intercept last, of a logistic scorer for soft labels ``goal``: full-batch Adam."""
-    index = np.concatenate(features)
-    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
-    scale = np.concatenate([scales_of(f) for f in features]).astype(np.float32)
+def packed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """All rows (goal, features) of a partition as one block: index, row, scale and goal."""
+    goal, features = [], []
+    for g, f in rows:
+        goal.append(g)
+        features.append(np.frombuffer(f, dtype=np.int32))
+    if goal:
+        row = np.repeat(np.arange(len(goal), dtype=np.int32), [len(f) for f in features])
+        scale = np.concatenate([scales_of(f) for f in features]).astype(np.float32)
+        yield np.concatenate(features), row, scale, np.array(goal)
+
+
+def slope_of(block: tuple, weights: np.ndarray) -> np.ndarray:
+    """Sum of the slopes of a block's documents: by feature, then of the intercept, and the number of documents last."""
+    index, row, scale, goal = block
+    z = np.bincount(row, weights[index] * scale, minlength=len(goal)) + weights[-1]
+    error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - goal
+    return np.append(np.bincount(index, error[row] * scale, minlength=len(weights) - 1), [error.sum(), len(goal)])
+
+
+def fit_scorer(sample: DataFrame, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the features, and the intercept last, of a logistic scorer for the soft labels of ``sample`` (goal,
+    features): full-batch Adam. Tasks keep the documents and sum up their slopes; only slopes reach the driver."""
+    context = sample.sparkSession.sparkContext
+    blocks = sample.rdd.coalesce(min(context.defaultParallelism, FIT_TASKS)).mapPartitions(packed)
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     size = FEATURES + 3 * len(LABELLERS)
     weights = np.zeros(size + 1)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     # Words explain what the votes leave open.
     shrink = np.concatenate([np.full(FEATURES, decay), np.zeros(size + 1 - FEATURES)])
     for step in range(1, steps + 1):
-        z = np.bincount(row, weights[index] * scale, minlength=len(features)) + weights[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - goal
-        slope = np.append(np.bincount(index, error[row] * scale, minlength=size), error.sum()) / len(goal) + shrink * weights
+        shared = context.broadcast(weights)
+        # One dense slope a task: a second stage to sum them up takes longer than the driver does.
+        total = sum(blocks.map(lambda block, shared=shared: slope_of(block, shared.value)).collect())
+        shared.destroy()
+        slope = total[:-1] / total[-1] + shrink * weights
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
-        weights -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        weights = weights - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    blocks.unpersist()
     return weights
 
 
@@ -227,29 +254,26 @@ def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED, labelled: int
         return classifier
     classifier.posterior, classifier.rates = posteriors(patterns)
 
+    posterior = context.broadcast(classifier.posterior)
+
     def start_features():
         votes = shared.value.votes
 
         def featured(text: str | None) -> tuple:
             words, own = votes(text)
-            return own, features_of(words, own).astype(np.int32).tobytes()
+            return posterior.value[own], features_of(words, own).astype(np.int32).tobytes()
 
         return featured
 
     # First the ids alone, then the texts of those.
     total = sum(n for _, n in patterns)
-    chosen = smallest_hashes(docs.select("doc_id"), "doc_id", total, fitted).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = map_rows(texts, ["text"], {"votes": "string", "features": "binary"}, start_features)
-    features, goal, size = [], [], 0
-    for row in sample.select("votes", "features").limit(fitted).toLocalIterator():
-        features.append(np.frombuffer(row.features, dtype=np.int32))
-        goal.append(classifier.posterior[row.votes])
-        size += len(features[-1])
-        if size > FITTED_FEATURES:
-            break
-    if features:
-        classifier.weights = fit_scorer(features, np.array(goal)).astype(np.float32)
+    hashed = F.xxhash64("doc_id")
+    last = smallest_hashes(docs.select("doc_id"), "doc_id", total, fitted).agg(F.max(hashed)).first()[0]
+    texts = docs.filter(hashed <= last).select("text")
+    sample = map_rows(texts, ["text"], {"goal": "double", "features": "binary"}, start_features)
+    # Read by every step's tasks until they hold it, so computed once.
+    written = cut_lineage(sample.select("goal", "features"))
+    classifier.weights = fit_scorer(written).astype(np.float32)
     return classifier
 
 

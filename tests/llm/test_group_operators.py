@@ -279,3 +279,20 @@ def test_quality_of_edges(spark):
     assert quality.score_documents(empty, quality.fit(empty.select("doc_id", "text"), none)).count() == 0
     toxic = rows.table(spark, [(10, None, 1), (None, 1, None), (11, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert quality.score_documents(docs, quality.fit(docs.select("doc_id", "text"), toxic)).count() == docs.count()
+
+
+def test_every_chosen_document_is_fitted_on_whatever_the_order(spark, monkeypatch):
+    assert (quality.FITTED, quality.FEATURES) == (12_000, 1 << 18)
+    docs = rows.documents(spark, [rows.prose(i, 60 + 20 * i) for i in range(40)]).select("doc_id", "text")
+    none = rows.table(spark, [], "doc_id bigint, quality int, toxic int")
+    fit, fitted = quality.fit_scorer, []
+
+    def few_steps(sample):
+        fitted.append(sample.count())
+        return fit(sample, steps=3)
+
+    # The bound that the sample used to stop at.
+    monkeypatch.setattr(quality, "FITTED_FEATURES", 100, raising=False)
+    monkeypatch.setattr(quality, "fit_scorer", few_steps)
+    a, b = (quality.fit(d, none, fitted=30).weights for d in (docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(1)))
+    assert fitted == [30, 30] and np.allclose(a, b, atol=1e-5)
