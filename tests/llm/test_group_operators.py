@@ -296,3 +296,9 @@ def test_every_chosen_document_is_fitted_on_whatever_the_order(spark, monkeypatc
     monkeypatch.setattr(quality, "fit_scorer", few_steps)
     a, b = (quality.fit(d, none, fitted=30).weights for d in (docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(1)))
     assert fitted == [30, 30] and np.allclose(a, b, atol=1e-5)
+
+
+def test_the_most_frequent_word_is_counted_in_the_whole_text():
+    words = [w for i in range(25) for w in (b"a%d" % i, b"buy")]
+    votes = quality.votes_of(b" ".join(words).decode(), words, frozenset(), frozenset())
+    assert votes[quality.LABELLERS.index("top_word")] == quality.REJECT
