@@ -6,7 +6,9 @@ candidates: codes that agree in a key and differ in few bits. Candidates are ran
 double precision. A pair that several tables hold counts in the first of them only.
 
 The width of a key follows the number of vectors, so that buckets stay small, and the number of tables follows the
-width, so that a pair at the threshold is found with the stated probability at every size.
+width, so that a pair at the threshold is found with the stated probability at every size. Codes are taken from centred
+vectors, which are shorter than the unit vectors if those share a direction, and then the angle of a pair is larger: the
+number of tables and the code distance follow the angle at the centred length that only ``SHORT`` of the sample fall below.
 
 Equal vectors of a label are one class, so exact copies never meet pairwise. Null and zero vectors, those with null or
 non-finite components and rows without a label link with nothing. Vectors of different lengths never link. A null
@@ -33,6 +35,8 @@ THRESHOLD = 0.98
 SAMPLE, BITS = 20_000, 64
 # Wanted chance to retrieve a pair at the threshold, and the code distance beyond which a pair is no candidate.
 RECALL, FAR = 0.995, 20
+# Share of the sample with smaller centred vectors than the number of tables is made for.
+SHORT = 0.01
 # Buckets of more vectors are split into chunks of about this many.
 GROUP = 1024
 
@@ -84,10 +88,25 @@ def key_bits(n: int) -> int:
     return min(BITS, max(8, math.ceil(math.log2(max(n, 2)))))
 
 
-def tables_for(width: int, threshold: float = THRESHOLD, recall: float = RECALL) -> list[np.uint64]:
+def centred_angle(lengths: np.ndarray, threshold: float) -> float:
+    """Angle between two centred vectors of a pair at the threshold, at the short end of the sample's ``lengths``."""
+    half = math.sqrt((1 - threshold) / 2) / max(float(np.quantile(lengths, SHORT)), 1e-9)
+    # Bits of vectors next to the mean are as good as random; beyond a right angle no number of tables helps.
+    return min(max(math.acos(threshold), 2 * math.asin(min(half, 1.0))), math.pi / 2)
+
+
+def far_for(angle: float) -> int:
+    """Code distance that a pair at ``angle`` exceeds about never: eight standard deviations above what is expected."""
+    p = angle / math.pi
+    return min(BITS, max(FAR, math.ceil(BITS * p + 8 * math.sqrt(BITS * p * (1 - p)))))
+
+
+def tables_for(
+    width: int, threshold: float = THRESHOLD, recall: float = RECALL, angle: float | None = None
+) -> list[np.uint64]:
     """Masks of ``width`` bits each, as many as the wanted recall takes: at the threshold a bit of a pair differs with
     probability angle / pi. Tables take the bits in a shuffled order, one after the other, round and round."""
-    same = (1 - math.acos(threshold) / math.pi) ** width
+    same = (1 - (math.acos(threshold) if angle is None else angle) / math.pi) ** width
     count = math.ceil(math.log(1 - recall) / math.log(1 - same))
     rng = np.random.default_rng(1)
     order = np.concatenate([rng.permutation(BITS) for _ in range(math.ceil(count * width / BITS) + 1)])
@@ -112,9 +131,12 @@ def nearest_links(vectors: DataFrame, threshold: float = THRESHOLD, group: int =
     extent = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size")).first()
     size = extent["size"] or 1
     sample = smallest_hashes(vectors.select("id", "embedding"), "id", extent["n"], SAMPLE).collect()
-    rotation = Rotation(unit_vectors([r.embedding for r in sample], size)) if sample else None
+    units = unit_vectors([r.embedding for r in sample], size)
+    rotation = Rotation(units) if sample else None
+    angle = centred_angle(np.linalg.norm(units - rotation.mean, axis=1), threshold) if sample else math.acos(threshold)
+    far = far_for(angle)
     shared = spark.sparkContext.broadcast(rotation)
-    masks = tables_for(key_bits(extent["n"]), threshold)
+    masks = tables_for(key_bits(extent["n"]), threshold, angle=angle)
 
     def start_codes():
         def codes(embeddings: list) -> list[tuple]:
@@ -140,7 +162,7 @@ def nearest_links(vectors: DataFrame, threshold: float = THRESHOLD, group: int =
             for a, b in zip(cuts[:-1], cuts[1:]):
                 own = codes[a:b]
                 for i in range(b - a - 1):
-                    hit = np.bitwise_count(own[i + 1 :] ^ own[i]) <= FAR
+                    hit = np.bitwise_count(own[i + 1 :] ^ own[i]) <= far
                     if hit.any():
                         near[a + i] = True
                         near[a + i + 1 : b] |= hit

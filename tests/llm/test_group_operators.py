@@ -302,3 +302,21 @@ def test_the_most_frequent_word_is_counted_in_the_whole_text():
     words = [w for i in range(25) for w in (b"a%d" % i, b"buy")]
     votes = quality.votes_of(b" ".join(words).decode(), words, frozenset(), frozenset())
     assert votes[quality.LABELLERS.index("top_word")] == quality.REJECT
+
+
+def test_pairs_are_found_under_a_common_offset(spark):
+    rng = np.random.default_rng(5)
+    offset = 3 * np.eye(64)[0]
+    base = rng.normal(size=(400, 64)) / 8 + offset
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base / (base**2).sum(axis=1, keepdims=True)
+    twin = base + side * 0.18 * np.linalg.norm(base, axis=1, keepdims=True) / np.linalg.norm(side, axis=1, keepdims=True)
+    data = [(i, v.tolist(), i % 400 % 2) for i, v in enumerate(np.vstack([base, twin]))]
+    got = itq.near_duplicate_vectors(rows.table(spark, data, "vec_id bigint, embedding array<double>, label int")).collect()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in data}
+    matrix = np.stack([unit[i] for i in range(800)])
+    same = np.equal.outer(*[np.array([label for _, _, label in data])] * 2)
+    links = (matrix @ matrix.T >= 0.98) & same & ~np.eye(800, dtype=bool)
+    for label in (0, 1):
+        found = sum(r.n_links for r in got if r.vec_id % 400 % 2 == label)
+        assert found >= 0.98 * links[[i for i, _, own in data if own == label]].sum() > 0
