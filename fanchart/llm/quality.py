@@ -208,7 +208,7 @@ def fit_scorer(sample: DataFrame, steps: int = 300, rate: float = 0.05, decay: f
     shrink = np.concatenate([np.full(FEATURES, decay), np.zeros(size + 1 - FEATURES)])
     for step in range(1, steps + 1):
         shared = context.broadcast(weights)
-        # One dense slope a task: a second stage to sum them up takes longer than the driver does.
+        # One dense slope a task, at most FIT_TASKS of them.
         total = sum(blocks.map(lambda block, shared=shared: slope_of(block, shared.value)).collect())
         shared.destroy()
         slope = total[:-1] / total[-1] + shrink * weights
