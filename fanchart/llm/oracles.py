@@ -87,9 +87,40 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
 from said group by conv_id
 """
 
+
+
+def _centroids(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two steps: all distances, then means. Whole numbers throughout, so that sums are exact."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (
+    select vec_id, arg_min(i, (d, i)) i, min(d) d from (
+        select vec_id, i, list_sum(list_transform(list_zip(v, p), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::bigint d
+        from whole, c{r}) group by vec_id)""")
+        if r < rounds:
+            steps.append(f"""s{r} as (
+    select i, pos, floor_div(sum(x), count(*)) m from (
+        select i, unnest(v) x, generate_subscripts(v, 1) pos from a{r} join whole using (vec_id)) group by i, pos),
+c{r + 1} as materialized (
+    select i, coalesce(m, p) p from c{r} left join (select i, list(m order by pos) m from s{r} group by i) using (i))""")
+    return f"""
+with whole as materialized (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings
+    where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+), c0 as materialized (
+    select row_number() over (order by sha256('3:' || vec_id)) - 1 i, v p from whole
+    qualify row_number() over (order by sha256('3:' || vec_id)) <= {k}
+), {", ".join(steps)}
+select vec_id, i::int "cluster", d distance, (sum(d) over (partition by i))::bigint cluster_inertia, (sum(d) over ())::bigint inertia,
+    sha256(array_to_string(p, ',')) centroid_sha256
+from a{rounds} join c{rounds} using (i)
+""".replace("floor_div(sum(x), count(*))", "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint")
+
+
 SQL = {
     "op5_decontamination": DECONTAMINATION,
     "op6_substring": SUBSTRING,
     "op7_itq": EMBEDDINGS,
     "op9_chat": CHAT,
+    "op13_centroids": _centroids(),
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fanchart.llm import bpe, chat, decontaminate, itq, pii, quality, secrets, sharding, simhash, substring
+from fanchart.llm import (
+    bpe,
+    centroids,
+    chat,
+    decontaminate,
+    itq,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    substring,
+    toxicity,
+    whitening,
+)
 from fanchart.llm.oracles import SQL
 from fanchart.session import cut_lineage
 
@@ -94,6 +108,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, classifier).select("doc_id", "keep", "score", "votes")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -105,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
+    "op13_centroids": op13_centroids,
 }
 
 
