@@ -3,7 +3,8 @@
 After Wang and Manning (2012): a text's features are the character n-grams it holds, each once, hashed into a fixed number
 of buckets. A bucket's value is its log-count ratio, the logarithm of its share of the toxic documents' n-grams over its
 share of the other ones'. Logistic regression with a ridge penalty is fitted on these values, so that a telling n-gram
-starts with a large value and needs a small coefficient. N-grams lie inside a word or touch its ends, which a space marks;
+starts with a large value and needs a small coefficient. The fit is L-BFGS; a step's loss and slope are one Spark job over the
+fitted rows, and the driver holds vectors of one number per bucket. N-grams lie inside a word or touch its ends, which a space marks;
 letters are lower-cased and white space is one space.
 
 Labels are learnt only from rows that ``held_out`` does not name, and only from ``LABELLED`` distinct texts at most, those
@@ -18,24 +19,26 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fanchart.llm.arrow import map_rows
 from fanchart.session import cut_lineage, drop_written
 
 # Lengths of n-grams, and bits of a bucket's number.
-SHORTEST, LONGEST, BITS = 3, 8, 20
+SHORTEST, LONGEST, BITS = 4, 7, 18
 # Distinct labelled texts that the classifier is fitted on, at most.
 LABELLED = 12_000
 # Added to every count; buckets in fewer documents than this have no coefficient.
-SMOOTHING, FEWEST = 1.0, 3
-RIDGE, STEPS = 1e-4, 60
+SMOOTHING, FEWEST = 1.0, 10
+# Ridge penalty; the fit ends after this many steps, or when a step gains less than the loss it is given here.
+RIDGE, STEPS, GAIN = 1e-4, 40, 1e-6
+# Parts of the fitted rows, and corrections that the steps remember.
+PARTS, MEMORY = 16, 10
 # One row in this many is held out.
 FOLDS = 5
 # Characters of a text hashed at a time.
@@ -130,27 +133,89 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Classifier
         return lambda text: (ngrams(text).tolist(),)
 
     rows = map_rows(labelled_texts(docs, labels, limit), ["text"], {"buckets": "array<int>"}, start)
+    rows = rows.select("id", "toxic", "buckets").repartition(PARTS, "id").sortWithinPartitions("id")
     rows = cut_lineage(rows, ["toxic", "buckets"])
     toxic = F.col("toxic") == 1
-    share = rows.agg(F.avg(toxic.cast("double"))).first()[0]
+    n, share = rows.agg(F.count("*"), F.avg(toxic.cast("double"))).first()
     size = 1 << BITS
     if share in (None, 0.0, 1.0):
         return Classifier(np.zeros(size, dtype=np.float32), {None: 0.0, 0.0: -500.0, 1.0: 500.0}[share])
     held = rows.select(toxic.alias("toxic"), F.explode("buckets").alias("bucket"))
     counts = held.groupBy("bucket").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
     ratios = log_count_ratios(counts, size)
-    used = np.flatnonzero(ratios)
-    if not len(used):
-        return Classifier(np.zeros(size, dtype=np.float32), float(np.log(share / (1 - share))))
-    terms = rows.select(F.col("toxic").cast("double"), F.transform("buckets", lambda b: b.cast("string")).alias("terms"))
-    index = CountVectorizerModel.from_vocabulary([str(b) for b in used], inputCol="terms", outputCol="held").setBinary(True)
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratios[used]), inputCol="held", outputCol="features")
-    learner = LogisticRegression(labelCol="toxic", regParam=RIDGE, maxIter=STEPS, standardization=False)
-    fitted = learner.fit(scaled.transform(index.transform(terms)).select("toxic", "features"))
-    coefficients = np.zeros(size, dtype=np.float32)
-    coefficients[used] = fitted.coefficients.toArray() * ratios[used]
+
+    def loss_and_slope(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        total = slope_sums(rows, weights[:-1] * ratios, weights[-1])
+        slope = np.append(total[:size] * ratios / n + RIDGE * weights[:-1], total[size] / n)
+        return total[size + 1] / n + RIDGE / 2 * float(weights[:-1] @ weights[:-1]), slope
+
+    weights = lowest(loss_and_slope, np.append(np.zeros(size), np.log(share / (1 - share))))
     drop_written(rows)
-    return Classifier(coefficients, float(fitted.intercept))
+    return Classifier((weights[:-1] * ratios).astype(np.float32), float(weights[-1]))
+
+
+def slope_sums(rows: DataFrame, coefficients: np.ndarray, intercept: float) -> np.ndarray:
+    """Over ``rows`` (toxic, buckets): the sums of the errors per bucket, of all errors, and of the losses.
+
+    A task adds up its rows, and a few tasks add up those sums, so that few vectors reach the driver.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((coefficients.astype(np.float32), intercept))
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coefficients, intercept = shared.value
+        total = np.zeros(len(coefficients) + 2)
+        for batch in batches:
+            y, lists = batch.column(0).to_numpy().astype(np.float64), batch.column(1)
+            buckets, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+            z = intercept + np.bincount(row, coefficients[buckets], len(y))
+            off = 0.5 * (1 + np.tanh(z / 2)) - y
+            total[:-2] += np.bincount(buckets, off[row], len(coefficients))
+            total[-2:] += off.sum(), (np.logaddexp(0, z) - y * z).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            for part in batch.column(0):
+                total = total + np.frombuffer(part.as_buffer())
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = rows.mapInArrow(slopes, "sums binary")
+    few = parts.repartition(4, F.xxhash64("sums")).mapInArrow(added, "sums binary")
+    total = sum(np.frombuffer(r.sums) for r in few.collect())
+    shared.destroy()
+    return total
+
+
+def lowest(function, start: np.ndarray, steps: int = STEPS, gain: float = GAIN) -> np.ndarray:
+    """Where ``function``, which gives value and slope, is lowest: L-BFGS with halved steps."""
+    x, moves, turns = start, [], []
+    value, slope = function(x)
+    for _ in range(steps):
+        direction, factors = slope.copy(), []
+        for s, y in zip(reversed(moves), reversed(turns)):
+            factors.append((s @ direction) / (y @ s))
+            direction -= factors[-1] * y
+        if moves:
+            direction *= (moves[-1] @ turns[-1]) / (turns[-1] @ turns[-1])
+        for (s, y), factor in zip(zip(moves, turns), reversed(factors)):
+            direction += s * (factor - (y @ direction) / (y @ s))
+        step = 1.0 if moves else 1 / max(float(np.linalg.norm(direction)), 1e-12)
+        next_value, next_slope = function(x - step * direction)
+        while next_value > value - 1e-4 * step * (slope @ direction) and step > 1e-9:
+            step /= 2
+            next_value, next_slope = function(x - step * direction)
+        if next_value >= value:
+            break
+        move, turn = -step * direction, next_slope - slope
+        x = x + move
+        won, value, slope = value - next_value, next_value, next_slope
+        if won < gain:
+            break
+        if move @ turn > 0:
+            moves, turns = [*moves, move][-MEMORY:], [*turns, turn][-MEMORY:]
+    return x
 
 
 def score_documents(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
