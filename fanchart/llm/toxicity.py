@@ -12,7 +12,8 @@ with the smallest hashes. Language, source and id are no inputs of a score.
 
 A null or empty text has no n-grams and gets the intercept's score. Very long texts are hashed in
 pieces. Repeated rows are scored alike and learnt from once. A null id is never held out and has no label. A null label
-is none; an id with several labels is toxic if one of them says so. With labelled rows of one class only,
+is none; a label of 1 is toxic, any other not; an id with several labels is toxic if one
+of them is. With labelled rows of one class only,
 every score is near 0 or near 1; without any it is 0.5. Columns of the input named like an output are replaced. An empty
 table gives an empty result.
 """
@@ -37,8 +38,8 @@ LABELLED = 12_000
 SMOOTHING, FEWEST = 1.0, 10
 # Ridge penalty; the fit ends after this many steps, or when a step gains less than the loss it is given here.
 RIDGE, STEPS, GAIN = 1e-4, 40, 1e-6
-# Parts of the fitted rows, and corrections that the steps remember.
-PARTS, MEMORY = 16, 10
+# Partitions of the learnt texts, tasks of a step, and corrections that the steps remember.
+PARTS, TASKS, MEMORY = 16, 8, 10
 # One row in this many is held out.
 FOLDS = 5
 # Characters of a text hashed at a time.
@@ -102,26 +103,49 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
     one id may have any number of them.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # At most ``limit`` narrow rows.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    texts = texts.select(F.xxhash64("doc_id", "text").alias("id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("id"), "text", "toxic")
     last = texts.select("id").distinct().orderBy("id").limit(limit).agg(F.max("id")).first()[0]
-    return texts.filter(F.col("id") <= last).dropDuplicates(["id"])
+    return texts.filter(F.col("id") <= last).repartition(PARTS, "id").dropDuplicates(["id"])
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of a batch's rows (toxic, buckets), all their buckets, and the row of each bucket."""
+    packed = batch.column(1).to_pylist()
+    buckets = np.frombuffer(b"".join(packed), dtype="<i4")
+    return batch.column(0).to_numpy(), buckets, np.repeat(np.arange(len(packed)), [len(p) // 4 for p in packed])
+
+
+def bucket_counts(rows: DataFrame, size: int) -> DataFrame:
+    """(bucket, toxic, clean): how many rows of either label hold a bucket. A task counts its rows before the shuffle."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size), dtype=np.int64)
+        for batch in batches:
+            toxic, buckets, row = unpacked(batch)
+            for i in (0, 1):
+                total[i] += np.bincount(buckets[(toxic == 1 - i)[row]], minlength=size)
+        held = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held, *total[:, held])], names=["bucket", "toxic", "clean"])
+
+    parts = rows.mapInArrow(counted, "bucket bigint, toxic bigint, clean bigint")
+    return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def log_count_ratios(counts: DataFrame, size: int, smoothing: float = SMOOTHING, fewest: int = FEWEST) -> np.ndarray:
-    """Per bucket of ``counts`` (bucket, toxic, clean) its ratio; 0 where fewer than ``fewest`` documents hold it.
+    """Per bucket of ``counts`` its ratio; 0 where fewer than ``fewest`` documents hold it.
 
     There are at most ``size`` buckets, whatever the number of documents.
     """
-    counted, table = np.zeros((2, size)), counts.toArrow()
+    total, table = np.zeros((2, size)), counts.toArrow()
     at = table.column("bucket").to_numpy()
-    counted[0, at], counted[1, at] = table.column("toxic").to_numpy(), table.column("clean").to_numpy()
-    p, q = counted + smoothing
+    total[0, at], total[1, at] = table.column("toxic").to_numpy(), table.column("clean").to_numpy()
+    p, q = total + smoothing
     ratios = np.log((p / p.sum()) / (q / q.sum()))
-    ratios[counted.sum(axis=0) < fewest] = 0
+    ratios[total.sum(axis=0) < fewest] = 0
     return ratios
 
 
@@ -130,60 +154,69 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Classifier
 
     def start():
         ngrams = Ngrams()
-        return lambda text: (ngrams(text).tolist(),)
+        return lambda text: (ngrams(text).astype("<i4").tobytes(),)
 
-    rows = map_rows(labelled_texts(docs, labels, limit), ["text"], {"buckets": "array<int>"}, start)
-    rows = rows.select("id", "toxic", "buckets").repartition(PARTS, "id").sortWithinPartitions("id")
+    rows = map_rows(labelled_texts(docs, labels, limit), ["text"], {"buckets": "binary"}, start)
     rows = cut_lineage(rows, ["toxic", "buckets"])
-    toxic = F.col("toxic") == 1
-    n, share = rows.agg(F.count("*"), F.avg(toxic.cast("double"))).first()
+    n, share = rows.agg(F.count("*"), F.avg((F.col("toxic") == 1).cast("double"))).first()
     size = 1 << BITS
     if share in (None, 0.0, 1.0):
         return Classifier(np.zeros(size, dtype=np.float32), {None: 0.0, 0.0: -500.0, 1.0: 500.0}[share])
-    held = rows.select(toxic.alias("toxic"), F.explode("buckets").alias("bucket"))
-    counts = held.groupBy("bucket").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
-    ratios = log_count_ratios(counts, size)
+    ratios = log_count_ratios(bucket_counts(rows, size), size)
+    used = np.flatnonzero(ratios)
+    rows = renumbered(rows, used, size)
 
     def loss_and_slope(weights: np.ndarray) -> tuple[float, np.ndarray]:
-        total = slope_sums(rows, weights[:-1] * ratios, weights[-1])
-        slope = np.append(total[:size] * ratios / n + RIDGE * weights[:-1], total[size] / n)
-        return total[size + 1] / n + RIDGE / 2 * float(weights[:-1] @ weights[:-1]), slope
+        total = slope_sums(rows, weights[:-1] * ratios[used], weights[-1])
+        slope = np.append(total[:-2] * ratios[used] / n + RIDGE * weights[:-1], total[-2] / n)
+        return total[-1] / n + RIDGE / 2 * float(weights[:-1] @ weights[:-1]), slope
 
-    weights = lowest(loss_and_slope, np.append(np.zeros(size), np.log(share / (1 - share))))
+    weights = lowest(loss_and_slope, np.append(np.zeros(len(used)), np.log(share / (1 - share))))
     drop_written(rows)
-    return Classifier((weights[:-1] * ratios).astype(np.float32), float(weights[-1]))
+    coefficients = np.zeros(size, dtype=np.float32)
+    coefficients[used] = weights[:-1] * ratios[used]
+    return Classifier(coefficients, float(weights[-1]))
+
+
+def renumbered(rows: DataFrame, used: np.ndarray, size: int) -> DataFrame:
+    """``rows`` with the buckets ``used`` only, each by its place among them; replaces the table ``rows``."""
+    place = np.full(size, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    shared = rows.sparkSession.sparkContext.broadcast(place)
+
+    def start():
+        def kept(buckets: bytes) -> tuple:
+            own = shared.value[np.frombuffer(buckets, dtype="<i4")]
+            return (own[own >= 0].astype("<i4").tobytes(),)
+
+        return kept
+
+    after = cut_lineage(map_rows(rows, ["buckets"], {"buckets": "binary"}, start))
+    drop_written(rows)
+    return after.coalesce(TASKS)
 
 
 def slope_sums(rows: DataFrame, coefficients: np.ndarray, intercept: float) -> np.ndarray:
     """Over ``rows`` (toxic, buckets): the sums of the errors per bucket, of all errors, and of the losses.
 
-    A task adds up its rows, and a few tasks add up those sums, so that few vectors reach the driver.
+    A task adds up its rows and sends the driver one number per bucket; there are at most ``TASKS`` tasks.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((coefficients.astype(np.float32), intercept))
+    shared = rows.sparkSession.sparkContext.broadcast((coefficients, intercept))
 
     def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coefficients, intercept = shared.value
         total = np.zeros(len(coefficients) + 2)
         for batch in batches:
-            y, lists = batch.column(0).to_numpy().astype(np.float64), batch.column(1)
-            buckets, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-            z = intercept + np.bincount(row, coefficients[buckets], len(y))
-            off = 0.5 * (1 + np.tanh(z / 2)) - y
+            toxic, buckets, row = unpacked(batch)
+            z = intercept + np.bincount(row, coefficients[buckets], len(toxic))
+            off = 0.5 * (1 + np.tanh(z / 2)) - (toxic == 1)
             total[:-2] += np.bincount(buckets, off[row], len(coefficients))
-            total[-2:] += off.sum(), (np.logaddexp(0, z) - y * z).sum()
+            total[-2:] += off.sum(), (np.logaddexp(0, z) - (toxic == 1) * z).sum()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
-        for batch in batches:
-            for part in batch.column(0):
-                total = total + np.frombuffer(part.as_buffer())
-        if isinstance(total, np.ndarray):
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    parts = rows.mapInArrow(slopes, "sums binary")
-    few = parts.repartition(4, F.xxhash64("sums")).mapInArrow(added, "sums binary")
-    total = sum(np.frombuffer(r.sums) for r in few.collect())
+    total = np.zeros(len(coefficients) + 2)
+    for r in rows.mapInArrow(slopes, "sums binary").collect():
+        total += np.frombuffer(r.sums)
     shared.destroy()
     return total
 
