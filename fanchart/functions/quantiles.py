@@ -7,7 +7,6 @@ two functions here do all their row-sized work in map-side aggregates.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -21,18 +20,28 @@ ACCURACY = 10_000
 GROUP_SIZES = (10, 100, 1_000, 10_000)
 # The first growing part is this much smaller than the bracket.
 SMALLEST_STEP = 2.0**64
+# A task sorts at most about this many rows of one group; wider brackets are cut into so many parts and narrowed first.
+MOST_ROWS, PARTS = 500_000, 1024
+# Steps per doubling of a value, and a number above all their logarithms.
+STEPS, OFFSET = 256, 300_000
 
 
 def exact_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    accuracy: int = ACCURACY,
+    most: int = MOST_ROWS,
 ) -> DataFrame:
     """Linearly interpolated percentiles per ``keys``, one output column per entry of ``probs``.
 
     A sketch brackets the wanted ranks: its rank error is at most n/accuracy, and the bracket is wider than that by two
     ranks at least and twenty at most. One aggregate on the map side counts the rows between the brackets and groups
     the distinct values inside them, and only those are shuffled and sorted: some forty rows of a small group, a share
-    of ``10 / accuracy`` of a large one before equal values are merged. That share of one group is sorted by one task.
-    With keys the sketch, one row per group, is computed right away, so that the rows need no shuffle to meet it.
+    of ``10 / accuracy`` of a large one before equal values are merged. Where that share of one group is more than
+    ``most`` rows, its brackets are narrowed first, a pass over the rows at a time, each to about a ``PARTS``-th. The
+    sketch, one row per group, is computed right away, so that the rows need no shuffle to meet it.
     """
     keys, names = list(keys), list(probs)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -56,13 +65,20 @@ def exact_percentile(
         highs.append(F.when(highest, F.col("_max")).otherwise(F.get("_q", at + 1)))
     sketch = sketch.select(*keys, F.col("_n").alias("n"), F.array(*lows).alias("_lows"), F.array(*highs).alias("_highs"))
 
-    # Without keys the brackets are one value, a scalar subquery; with keys they are broadcast if there are few groups.
-    if keys:
-        joined = rows.join(small_side(sketch), keys)
-    else:
-        brackets = sketch.select(F.struct("n", "_lows", "_highs").alias("s")).scalar()
-        joined = rows.withColumn("s", brackets).select("_v", "s.n", "s._lows", "s._highs")
-    each = range(len(names))
+    # Broadcast if there are few groups.
+    sketch = small_side(sketch)
+    widest = (sketch.agg(F.max("n")).first()[0] or 0) * 2 * (slacks[-1] + 1 / accuracy)
+    growing, brackets = False, len(names)
+    if widest > most:
+        # From here on a bracket holds one rank, the one at or below the wanted place or the next.
+        doubled = {c: F.flatten(F.transform(c, lambda x: F.array(x, x))) for c in ("_lows", "_highs")}
+        sketch, brackets = sketch.withColumns(doubled), 2 * len(names)
+    while widest > most:
+        sketch = small_side(_narrowed(_met(rows, sketch, keys), keys, list(probs.values()), growing))
+        widest, growing = sketch.agg(F.max("_inside")).first()[0], not growing
+        sketch = sketch.drop("_inside")
+    joined = _met(rows, sketch, keys)
+    each = range(brackets)
     inside = reduce(or_, [F.col("_v").between(F.get("_lows", F.lit(i)), F.get("_highs", F.lit(i))) for i in each])
     # A row outside all brackets counts in the gap it lies in.
     gap = sum((F.col("_v") > F.get("_highs", F.lit(i))).cast("int") for i in each)
@@ -88,47 +104,99 @@ def exact_percentile(
     return picked.select(*keys, *[between(name, p) for name, p in probs.items()])
 
 
-def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, tau: float, bins: int = 128) -> dict[int, float]:
+def _met(rows: DataFrame, sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the brackets of their group; without keys the one row of brackets is a scalar subquery."""
+    if keys:
+        return rows.join(sketch, keys)
+    brackets = sketch.select(F.struct("n", "_lows", "_highs").alias("s")).scalar()
+    return rows.withColumn("s", brackets).select("_v", "s.n", "s._lows", "s._highs")
+
+
+def _part(v: Column, low: Column, high: Column, parts: int, growing: bool) -> Column:
+    """Which part of a bracket a value of it lies in: equal parts, or parts that grow by a constant factor from ``low``.
+
+    A pair of passes so takes either many bits or many orders of magnitude off a bracket, and the width of a double
+    bounds their number. Halved first, so that the widest bracket does not overflow; the narrowest then has no width.
+    """
+    along = F.coalesce(F.try_divide(v / 2 - low / 2, high / 2 - low / 2), F.lit(0.0))
+    if growing:
+        along = F.log1p(along * SMALLEST_STEP) / F.log1p(F.lit(SMALLEST_STEP))
+    return F.when(v == high, F.lit(parts - 1)).otherwise(F.least(F.floor(along * parts), F.lit(parts - 1))).cast("bigint")
+
+
+def _narrowed(joined: DataFrame, keys: list[str], probs: list[float], growing: bool) -> DataFrame:
+    """Narrower brackets (keys, n, _lows, _highs, _inside): of each the part that holds its rank.
+
+    Rows below a bracket are one part of it, those above none. At most ``PARTS`` + 1 sums per group and bracket are
+    ranked. A bracket of different values always has rows in its first and its last part, so it gets narrower.
+    """
+    v = F.col("_v")
+    placed = []
+    for i in range(2 * len(probs)):
+        low, high = F.get("_lows", F.lit(i)), F.get("_highs", F.lit(i))
+        part = F.when(v < low, F.lit(-1)).when(v <= high, _part(v, low, high, PARTS, growing))
+        placed.append(F.struct(F.lit(i).alias("i"), part.alias("part")))
+    parts = joined.select(*keys, "n", "_v", F.explode(F.array(*placed)).alias("at")).filter("at.part is not null")
+    parts = parts.groupBy(*keys, "n", "at.i", "at.part").agg(
+        F.count("*").alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most")
+    )
+    order = Window.partitionBy(*keys, "i").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.get(F.array(*[F.lit(p) for p in probs for _ in range(2)]), F.col("i")) * (F.col("n") - 1)
+    rank = F.when(F.col("i") % 2 == 0, F.floor(place)).otherwise(F.ceil(place))
+    ranked = parts.withColumn("upto", F.sum("c").over(order))
+    holding = F.min(F.when(F.col("upto") > rank, F.struct("part", "least", "most", "c")))
+    found = ranked.groupBy(*keys, "n", "i").agg(holding.alias("s")).select(*keys, "n", "i", "s.*")
+    inside = F.when(F.col("least") == F.col("most"), F.lit(0)).otherwise(F.col("c"))
+    listed = F.sort_array(F.collect_list(F.struct("i", F.col("least").alias("low"), F.col("most").alias("high"))))
+    out = found.groupBy(*keys, "n").agg(listed.alias("s"), F.max(inside).alias("_inside"))
+    return out.select(*keys, "n", F.col("s.low").alias("_lows"), F.col("s.high").alias("_highs"), "_inside")
+
+
+def weighted_quantiles(
+    df: DataFrame, key: str, value: str, weight: str, tau: float, most: int = MOST_ROWS, parts: int = PARTS
+) -> dict[int, float]:
     """Per group the smallest value whose cumulative weight reaches ``tau`` of the group's; exact.
 
-    For few groups of unbounded size, numbered from 0, such as the leaves of a tree. Each pass cuts a group's bracket
-    into ``bins`` parts, sums the weights per part and keeps the part the quantile falls in, until one value is left.
-    Parts are equal in one pass and grow by a constant factor from the lower end in the next. A pair of passes so takes
-    either many bits or many orders of magnitude off a bracket, and their number is bounded by the width of a double.
-    At most ``bins`` sums per group reach the driver, whatever the number of rows.
+    For few groups of unbounded size, numbered from 0, such as the leaves of a tree. The first pass is a histogram with
+    ``STEPS`` bins per doubling of a value, summed on the map side; it names one bin per group. The second sums the
+    weights of the values in those bins. If a bin holds more than ``most`` rows, it is cut into parts first, as often as
+    it takes. Histograms are ranked in Spark; one row per group and pass reaches the driver.
     """
-    k, v, w = F.col(key), F.col(value), F.col(weight)
-    extent = df.groupBy(k.alias("k")).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.sum(w).alias("w")).collect()
-    low, high = {r.k: r.low for r in extent}, {r.k: r.high for r in extent}
-    goal, below = {r.k: tau * r.w for r in extent}, {r.k: 0.0 for r in extent}
-    growing = False
-    while still_open := [g for g in low if low[g] < high[g]]:
-        size = max(still_open) + 1
-        start = F.get(number_array([low[g] if g in still_open else None for g in range(size)]), k)
-        end = F.get(number_array([high[g] if g in still_open else None for g in range(size)]), k)
-        # Halved first, so that the widest bracket of doubles does not overflow; the narrowest then has no width left.
-        along = F.coalesce(F.try_divide(v / 2 - start / 2, end / 2 - start / 2), F.lit(0.0))
-        if growing:
-            along = F.log1p(along * SMALLEST_STEP) / F.log1p(F.lit(SMALLEST_STEP))
-        part = F.when(v == end, F.lit(bins - 1)).otherwise(F.least(F.floor(along * bins), F.lit(bins - 1)))
-        sums = (
-            df.filter(v.between(start, end))
-            .groupBy(k.alias("k"), part.alias("part"))
-            .agg(F.sum(w).alias("w"), F.min(v).alias("low"), F.max(v).alias("high"))
-            .collect()
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.col(weight).alias("w"))
+    v = F.col("v")
+    # Null for 0, which lies between the negative and the positive bins.
+    octave = F.floor(F.log2(F.abs(v)) * STEPS) + OFFSET
+    part = F.coalesce(F.signum(v).cast("bigint") * octave, F.lit(0))
+    order = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    found, open_, growing = {}, None, False
+    while open_ is None or open_:
+        if open_ is None:
+            goal, inside = F.lit(tau) * F.sum("w").over(Window.partitionBy("k")), rows
+            slack = goal * 1e-12
+        else:
+            size = max(open_) + 1
+            low, high, goal, slack = (
+                F.get(number_array([open_[g][c] if g in open_ else None for g in range(size)]), F.col("k"))
+                for c in ("low", "high", "goal", "slack")
+            )
+            inside = rows.filter(v.between(low, high))
+            if max(r.n for r in open_.values()) <= most:
+                part = v
+            else:
+                part, growing = _part(v, low, high, parts, growing), not growing
+        sums = inside.groupBy("k", part.alias("part")).agg(
+            F.sum("w").alias("w"), F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
         )
-        parts = defaultdict(list)
-        for r in sorted(sums, key=lambda r: (r.k, r.part)):
-            parts[r.k].append(r)
-        for g, cut in parts.items():
-            for r in cut:
-                # Sums of weights may miss the total by a rounding error; the last part then counts as reached.
-                if below[g] + r.w >= goal[g] * (1 - 1e-12) or r is cut[-1]:
-                    low[g], high[g] = r.low, r.high
-                    break
-                below[g] += r.w
-        growing = not growing
-    return high
+        ranked = sums.withColumns({"upto": F.sum("w").over(order), "goal": goal, "slack": slack})
+        # Sums of weights may miss the total by a rounding error; the last part then counts as reached.
+        short = F.col("upto") < F.col("goal") - F.col("slack")
+        at = F.when(short, -F.col("part")).otherwise(F.col("part"))
+        left = (F.col("goal") - F.col("upto") + F.col("w")).alias("goal")
+        reached = F.struct(short.alias("short"), at.alias("at"), "low", "high", "n", left, "slack")
+        first = [(r.k, r.s) for r in ranked.groupBy("k").agg(F.min(reached).alias("s")).collect()]
+        found |= {k: s.high for k, s in first}
+        open_ = {k: s for k, s in first if s.low < s.high}
+    return found
 
 
 def number_array(values: list) -> Column:

@@ -113,8 +113,9 @@ def test_exact_percentile_equals_percentile_on_large_and_skewed_groups(spark):
     ).cache()
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}
     plain = F.percentile("v", F.array(*[F.lit(p) for p in probs.values()]))
-    for keys in (["k"], []):
-        ours = exact_percentile(rows, keys, "v", probs, accuracy=50)
+    # A task that may sort five rows only has brackets narrowed again and again.
+    for keys, most in ((["k"], 500_000), ([], 500_000), (["k"], 5), ([], 5)):
+        ours = exact_percentile(rows, keys, "v", probs, accuracy=50, most=most)
         ours = {tuple(r[k] for k in keys): [r[n] for n in probs] for r in ours.collect()}
         wanted = {tuple(r[k] for k in keys): r.q for r in rows.groupBy(*keys).agg(plain.alias("q")).collect()}
         assert ours.keys() == wanted.keys()
@@ -132,8 +133,8 @@ def test_weighted_quantiles_against_brute_force(spark):
     rows = spark.range(5_000).select(
         (F.col("id") % 3).cast("int").alias("leaf"), (F.randn(1) * 50).alias("v"), F.rand(2).alias("w")
     ).cache()
-    for tau in (0.1, 0.5, 0.9):
-        found = weighted_quantiles(rows, "leaf", "v", "w", tau, bins=16)
+    for tau, most in ((0.1, 500_000), (0.5, 500_000), (0.9, 500_000), (0.1, 4), (0.9, 4)):
+        found = weighted_quantiles(rows, "leaf", "v", "w", tau, most, parts=16)
         for leaf, group in rows.toPandas().groupby("leaf"):
             group = group.sort_values("v")
             reached = group.w.cumsum() >= tau * group.w.sum()
@@ -149,7 +150,16 @@ def test_weighted_quantiles_of_heavy_tails(spark):
     values = [2.0**i for i in range(201)]
     rows = spark.createDataFrame([(0, v, 1.0) for v in values] + [(1, -v, 1.0) for v in values], "leaf int, v double, w double")
     assert weighted_quantiles(rows, "leaf", "v", "w", 0.5) == {0: 2.0**100, 1: -(2.0**100)}
+    assert weighted_quantiles(rows, "leaf", "v", "w", 0.5, most=1, parts=4) == {0: 2.0**100, 1: -(2.0**100)}
     wide = [-1.7e308, -1e-300, 0.0, 5e-324, 1e-300, 1.0, 1.7e308]
     rows = spark.createDataFrame([(0, v, 1.0) for v in wide], "leaf int, v double, w double")
     for i, v in enumerate(wide):
         assert weighted_quantiles(rows, "leaf", "v", "w", (i + 0.9) / len(wide)) == {0: v}
+
+
+def test_percentiles_of_heavy_tails_with_narrow_tasks(spark):
+    values = [s * 2.0**i for i in range(-300, 301) for s in (-1, 1)] + [0.0] * 50
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    found = exact_percentile(rows, [], "v", {"a": 0.25, "b": 0.5, "c": 0.9}, accuracy=20, most=1).first()
+    wanted = rows.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))).first()[0]
+    assert list(found) == pytest.approx(wanted, rel=1e-12)
