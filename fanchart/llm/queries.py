@@ -41,17 +41,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    records = docs.select(
-        "doc_id",
-        sharding.size_of("text").alias("size"),
-        crc.alias("text_crc32"),
-        sharding.virtual_slot("doc_id").alias("virtual_slot"),
-    )
-    # Texts are read once; what follows works on the narrow table.
-    records = cut_lineage(records)
-    slot_map = cut_lineage(sharding.initial_map(sharding.slot_bytes(records), SHARDS))
-    placed = sharding.place(records, slot_map, "doc_id")
-    return placed.select(
+    # Texts are read once; what follows works on the narrow table. Rows of one id are told apart by text and number.
+    records = cut_lineage(docs.select("doc_id", sharding.size_of("text").alias("size"), crc.alias("text_crc32")))
+    records = sharding.told_apart(records, "doc_id", "text_crc32", "size")
+    records = records.withColumn("virtual_slot", sharding.virtual_slot("_record", "_repeat"))
+    records = cut_lineage(records.drop("_record", "_repeat"))
+    usage = cut_lineage(sharding.slot_bytes(records))
+    # Version 1 of the map, and version 2 after a ninth shard was added: the edit that rebalancing makes.
+    first = sharding.initial_map(usage, SHARDS)
+    slot_map = cut_lineage(first.unionByName(sharding.grown_map(first, usage)))
+    placed = sharding.place(records, slot_map.filter("version = 1"), "doc_id")
+    # At most as many rows as there are slots.
+    later = slot_map.filter("version = 2").select("virtual_slot", F.col("shard").alias("shard_version_2"))
+    return placed.join(F.broadcast(later), "virtual_slot").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -60,6 +62,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("place").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
+        "shard_version_2",
     )
 
 

@@ -164,15 +164,18 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, group: int
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over fingerprints within ``radius``."""
+    """(doc_id, fp, root, component_id) for every row: the smallest doc_id reachable over fingerprints within ``radius``.
+
+    ``root`` is the component's smallest fingerprint, which tells apart components that a repeated id names alike.
+    """
     written = cut_lineage(with_fingerprints(docs.select("doc_id", text), shingle, text), ["doc_id", "fp"])
     nodes = cut_lineage(written.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # One row per distinct fingerprint; a fingerprint of many copies is hot on the left side only, which Spark splits.
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return written.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(names, "root").select("fp", "root", "component_id")
+    return written.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: str = "fp") -> Column:

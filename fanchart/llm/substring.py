@@ -156,7 +156,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     is_copy = F.coalesce(F.col("original") < F.col("doc_id"), F.lit(False))
 
     zipped = F.explode(F.arrays_zip("anchor", "first", "last")).alias("s")
-    runs = judged.filter(~is_copy & F.col("doc_id").isNotNull()).select("doc_id", "seq", zipped)
+    # Repeats of a document have the same runs.
+    once = judged.filter(~is_copy & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "seq"])
+    runs = once.select("doc_id", "seq", zipped)
     runs = runs.select(F.col("s.anchor").alias("shard"), "doc_id", "seq", F.col("s.first").alias("first"), F.col("s.last").alias("last"))
     shared = runs.groupBy("shard").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"))
     shared = shared.filter(F.col("_a") < F.col("_b")).select("shard")
@@ -168,10 +170,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     per_document = split.groupBy("doc_id", "seq").agg(
         F.collect_list(F.struct(dealt.alias("shard"), "first", "last")).alias("segments"))
 
-    # The text of documents that may match, once; a repeated id with another text is told apart by its words.
-    texts = docs.join(per_document, "doc_id").withColumnRenamed("seq", "_seq")
-    matching = map_rows(texts, ["text"], {"words_sha256": "string"}, lambda: lambda t: (digest_of(words_of(t)),))
-    matching = matching.withColumn("seq", F.xxhash64("words_sha256")).filter("seq = _seq")
+    # The text of documents that may match, once: rows of one id and text are one, others are told apart by their words.
+    texts = docs.join(per_document.select("doc_id").distinct(), "doc_id", "left_semi")
+    printed = map_rows(texts, ["text"], {"words_sha256": "string"}, lambda: lambda t: (digest_of(words_of(t)),))
+    printed = printed.withColumn("seq", F.xxhash64("words_sha256")).dropDuplicates(["doc_id", "seq"])
+    matching = printed.join(per_document, ["doc_id", "seq"])
     matching = cut_lineage(matching, ["doc_id", "seq", "text", "segments"])
 
     def start():
@@ -189,7 +192,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = "doc_id bigint, seq bigint, start int, end int"
     stretches = map_groups(_segments(matching, window), "shard", ["doc_id"], schema, start)
     stretches = stretches.groupBy("doc_id", "seq").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    hit = matching.select("doc_id", "seq", "text").dropDuplicates(["doc_id", "seq"]).join(stretches, ["doc_id", "seq"])
+    hit = matching.select("doc_id", "seq", "text").join(stretches, ["doc_id", "seq"])
 
     def start_removal():
         def removed(text: str, starts: list[int], ends: list[int]) -> tuple:

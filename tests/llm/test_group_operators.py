@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 import rows
 from pyspark.sql import functions as F
 
-from fanchart.llm import fm_index, itq, quality, sharding, simhash, substring
+from fanchart.llm import fm_index, itq, quality, queries, sharding, simhash, substring
 from fanchart.llm.components import connected_components
 
 
@@ -74,6 +75,43 @@ def test_a_new_shard_only_takes(spark):
     assert 0.09 < share <= 0.1112
 
 
+def test_shards_are_even_under_repeated_ids_and_rows(spark):
+    """One id with many texts, and one row that makes a third of the table."""
+    data = [(i, "x" * 50) for i in range(1300)] + [(7777, f"{i} " + "y" * 60) for i in range(1400)] + [(8888, "z" * 90)] * 1300
+    records = rows.table(spark, data, "doc_id bigint, text string").withColumns({"start": F.lit("a"), "shard": F.lit(3), "place": F.lit(1)})
+    records = records.withColumns({"size": sharding.size_of("text"), "crc": F.crc32(F.col("text").cast("binary"))})
+    records = sharding.told_apart(records, "doc_id", "crc", "size")
+    records = records.withColumn("virtual_slot", sharding.virtual_slot("_record", "_repeat")).cache()
+    usage = sharding.slot_bytes(records)
+    placed = sharding.place(records, sharding.initial_map(usage, 8), "doc_id").collect()
+    assert len(placed) == len(data) and {r.start for r in placed} == {"a"}
+    sizes, places = [0] * 8, [[] for _ in range(8)]
+    for r in placed:
+        sizes[r.shard] += r["size"]
+        places[r.shard].append(r.place)
+    assert max(sizes) - min(sizes) <= 0.01 * sum(sizes)
+    assert all(sorted(p) == list(range(len(p))) for p in places)
+
+
+def test_sharding_query_against_brute_force(spark, sf_dir):
+    got = queries.op2_sharding(spark, sf_dir).collect()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    crc = zlib.crc32
+    wanted = sorted((i, len((t or "").encode()) + 1, crc((t or "").encode())) for i, t in docs)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == wanted
+    load, places, slots, later = [0] * 8, [[] for _ in range(8)], {}, [0] * 9
+    for r in got:
+        load[r.shard] += r["size"]
+        later[r.shard_version_2] += r["size"]
+        places[r.shard].append(r.slot)
+        assert r.law == "bytes" and r.grown_shard is None and r.shard_version_2 in (8, r.shard)
+        # A virtual slot lies in one shard of either version.
+        assert slots.setdefault(r.virtual_slot, (r.shard, r.shard_version_2)) == (r.shard, r.shard_version_2)
+    assert all(sorted(p) == list(range(len(p))) for p in places)
+    heaviest = max(sum(r["size"] for r in got if r.virtual_slot == s) for s in slots)
+    assert max(load) - min(load) <= heaviest and later[8] <= sum(load) / 9
+
+
 def test_sharding_an_empty_table(spark):
     records, _, slot_map = sharded(spark, [], 8)
     assert sharding.place(records, slot_map, "doc_id").count() == 0
@@ -243,6 +281,15 @@ def test_repeated_windows_of_rows_without_or_with_equal_ids(spark):
     assert substring.remove_repeated_windows(rows.documents(spark, [])).count() == 0
 
 
+def test_many_rows_of_one_id(spark):
+    """Texts and repeats of one id neither multiply nor remove one another."""
+    passage = rows.prose(40, 70)
+    data = [(1, passage)] + [(5, f"head{i} " + passage) for i in range(60)] + [(5, "again " + passage)] * 60 + [(6, passage + " x")]
+    got = substring.remove_repeated_windows(rows.table(spark, data, "doc_id bigint, text string")).collect()
+    assert len(got) == len(data)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 70, 0)] + [(5, 71, 70)] * 120 + [(6, 71, 70)]
+
+
 def test_estimation_finds_the_accuracies():
     rng = np.random.default_rng(3)
     sound = rng.random(20_000) < 0.85

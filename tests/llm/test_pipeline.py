@@ -73,6 +73,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, sf_dir):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "8", "9", "None"]
 
 
+def test_near_duplicate_stage_with_repeated_and_missing_ids(spark, sf_dir):
+    """One row of a group stays though several texts have its smallest id; groups that an id names alike both keep one."""
+    text, other = rows.prose(1, 300), rows.prose(9, 300)
+    data = [(1, text), (1, text + " tail"), (2, text), (None, text + " end"), (1, other), (None, rows.prose(4, 200)), (None, rows.prose(4, 200))]
+    data = [(i, t, "en", "s", len(t)) for i, t in data]
+    kept = corpus_pipeline.near_duplicates(spark, rows.table(spark, data, KIND), sf_dir).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "1", "None"]
+    assert {r.text[:20] for r in kept} == {text[:20], other[:20], rows.prose(4, 200)[:20]}
+
+
 def test_pii_stage_rewrites_the_text(spark, sf_dir):
     data = full(["write to a@b.c or +1 (017) 555-7713 now", None, "no data"])
     got = corpus_pipeline.personal_data(spark, rows.table(spark, data, KIND), sf_dir).orderBy("doc_id").collect()
