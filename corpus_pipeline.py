@@ -15,34 +15,43 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on this stage's input, rejects go."""
+    """Documents that the classifier, fitted on this stage's input, rejects go.
+
+    Null and empty texts are scored like any other; repeated rows are scored alike and all go or stay.
+    """
     classifier = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
     return quality.score_documents(docs, classifier).filter("keep").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; of its repeated rows, one."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("fp").alias("kept_fp"))
+    """Of each group of near-duplicates one row stays: one with the smallest doc_id, of several texts of that id the one
+    with the smallest fingerprint, of equal rows any.
+
+    Null and empty texts have the fingerprint 0 and are a group like any other. Null ids come last; a group without an id
+    keeps one row too. Texts of any length are read whole; columns besides those of documents are dropped.
+    """
     printed = simhash.with_fingerprints(docs.select(*COLUMNS))
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp"))
+    kept = groups.groupBy("root").agg(first.alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.fp").alias("kept_fp"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("kept_fp"))
-    return printed.join(kept.distinct(), same, "left_semi").dropDuplicates(["doc_id", "fp"]).select(*COLUMNS)
+    return printed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "fp"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no word inside a benchmark window stay."""
+    """Documents with no word inside a benchmark window stay, among them null and empty texts; repeated rows alike."""
     benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.contamination(docs, benchmark).filter(~F.col("contaminated")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, disguised or not, is replaced by its kind; n_chars follows."""
+    """Personal data, disguised or not, is replaced by its kind; n_chars follows. A null text stays null, rows stay rows."""
     redacted = pii.redact_personal_data(docs)
     return redacted.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document encoded, with the digest of its ids and of what they decode to."""
+    """Every document encoded, with the digest of its ids and of what they decode to; a null text is empty."""
     return bpe.token_digests(docs.select("doc_id", "text"), VOCABULARY, PATTERN).drop("text")
 
 
