@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fanchart.session import small_side
@@ -22,8 +23,8 @@ GROUP_SIZES = (10, 100, 1_000, 10_000)
 SMALLEST_STEP = 2.0**64
 # A task sorts at most about this many rows of one group; wider brackets are cut into so many parts and narrowed first.
 MOST_ROWS, PARTS = 500_000, 1024
-# Steps per doubling of a value, and a number above all their logarithms.
-STEPS, OFFSET = 256, 300_000
+# Steps per doubling of a value, and a number above all their logarithms; a group's values that the driver ranks, at most.
+STEPS, OFFSET, MOST_VALUES = 32, 40_000, 10_000
 
 
 def exact_percentile(
@@ -153,52 +154,67 @@ def _narrowed(joined: DataFrame, keys: list[str], probs: list[float], growing: b
 
 
 def weighted_quantiles(
-    df: DataFrame, key: str, value: str, weight: str, tau: float, most: int = MOST_ROWS, parts: int = PARTS
+    df: DataFrame, key: str, value: str, weight: str, tau: float, most: int = MOST_VALUES, parts: int = PARTS
 ) -> dict[int, float]:
     """Per group the smallest value whose cumulative weight reaches ``tau`` of the group's; exact.
 
     For few groups of unbounded size, numbered from 0, such as the leaves of a tree. The first pass is a histogram with
     ``STEPS`` bins per doubling of a value, summed on the map side; it names one bin per group. The second sums the
-    weights of the values in those bins. If a bin holds more than ``most`` rows, it is cut into parts first, as often as
-    it takes. Histograms are ranked in Spark; one row per group and pass reaches the driver.
+    weights of the values in those bins. If a bin holds more than ``most`` rows, it is cut into ``parts`` first, as often
+    as it takes. A pass sends the driver one row per bin, part or value of a group: some thousands per group at most, or
+    ``most``, whatever the number of rows.
     """
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.col(weight).alias("w"))
     v = F.col("v")
     # Null for 0, which lies between the negative and the positive bins.
     octave = F.floor(F.log2(F.abs(v)) * STEPS) + OFFSET
-    part = F.coalesce(F.signum(v).cast("bigint") * octave, F.lit(0))
-    order = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    found, open_, growing = {}, None, False
+    part, inside = F.coalesce(F.signum(v).cast("bigint") * octave, F.lit(0)), rows
+    found, open_, goals, growing = {}, None, {}, False
     while open_ is None or open_:
-        if open_ is None:
-            goal, inside = F.lit(tau) * F.sum("w").over(Window.partitionBy("k")), rows
-            slack = goal * 1e-12
-        else:
+        if open_:
             size = max(open_) + 1
-            low, high, goal, slack = (
-                F.get(number_array([open_[g][c] if g in open_ else None for g in range(size)]), F.col("k"))
-                for c in ("low", "high", "goal", "slack")
-            )
+            low, high = (F.get(number_array([open_[g][i] if g in open_ else None for g in range(size)]), F.col("k")) for i in (0, 1))
             inside = rows.filter(v.between(low, high))
-            if max(r.n for r in open_.values()) <= most:
+            if max(n for _, _, n in open_.values()) <= most:
                 part = v
             else:
                 part, growing = _part(v, low, high, parts, growing), not growing
         sums = inside.groupBy("k", part.alias("part")).agg(
             F.sum("w").alias("w"), F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
         )
-        ranked = sums.withColumns({"upto": F.sum("w").over(order), "goal": goal, "slack": slack})
-        # Sums of weights may miss the total by a rounding error; the last part then counts as reached.
-        short = F.col("upto") < F.col("goal") - F.col("slack")
-        at = F.when(short, -F.col("part")).otherwise(F.col("part"))
-        left = (F.col("goal") - F.col("upto") + F.col("w")).alias("goal")
-        reached = F.struct(short.alias("short"), at.alias("at"), "low", "high", "n", left, "slack")
-        first = [(r.k, r.s) for r in ranked.groupBy("k").agg(F.min(reached).alias("s")).collect()]
-        found |= {k: s.high for k, s in first}
-        open_ = {k: s for k, s in first if s.low < s.high}
+        table = sums.toArrow()
+        columns = [table.column(c).to_numpy() for c in ("k", "part", "w", "n", "low", "high")]
+        order = np.lexsort((columns[1], columns[0]))
+        keys, _, weights, counts, lows, highs = (c[order] for c in columns)
+        open_ = {}
+        for group in np.unique(keys).tolist():
+            first, last = np.searchsorted(keys, group), np.searchsorted(keys, group, side="right")
+            upto = np.cumsum(weights[first:last].astype(float))
+            goal, slack = goals.setdefault(group, (tau * upto[-1], 1e-12 * tau * upto[-1]))
+            # Sums of weights may miss the total by a rounding error; the last part then counts as reached.
+            at = min(int(np.searchsorted(upto, goal - slack)), len(upto) - 1)
+            goals[group] = goal - (upto[at - 1] if at else 0.0), slack
+            at += first
+            found[group] = float(highs[at])
+            if lows[at] < highs[at]:
+                open_[group] = float(lows[at]), float(highs[at]), int(counts[at])
     return found
 
 
+def percentiles(df: DataFrame, value: str, probs: dict[str, float], weight: str = "") -> dict[str, float]:
+    """Percentiles of a whole column, 0 where it has no values.
+
+    Without a weight column, interpolated; with one, the smallest value whose cumulative weight reaches the share. Rows
+    without a positive weight do not count.
+    """
+    if not weight:
+        row = exact_percentile(df, [], value, probs).first()
+        return {name: float(row[name]) if row and row[name] is not None else 0.0 for name in probs}
+    rows = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
+    rows = rows.select(F.lit(0).alias("k"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
+    return {name: weighted_quantiles(rows, "k", "v", "w", p).get(0, 0.0) for name, p in probs.items()}
+
+
 def number_array(values: list) -> Column:
     """Numbers, None or nested lists of them as one SQL literal."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame, functions as F
 
-from fanchart.functions.quantiles import exact_percentile
+from fanchart.functions.quantiles import percentiles
 from fanchart.grain import grain as grain_of
 from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only
 from fanchart.schema import QUANTILES
@@ -92,16 +92,19 @@ class SeasonalNaiveModel(QuantileModel):
 
 
 class ConstantQuantile(QuantileEstimator):
-    """The training quantiles of the target, for every row."""
+    """The training quantiles of the target, for every row; with ``weighted``, quantiles by cumulative weight."""
+
+    weighted = Param(Params._dummy(), "weighted", "whether weightCol counts", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, *, labelCol: str = "qty", weightCol: str = ""):
+    def __init__(self, *, labelCol: str = "qty", weightCol: str = "", weighted: bool = False):
         super().__init__()
+        self._setDefault(weighted=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> ConstantQuantileModel:
-        row = exact_percentile(df, [], self.getOrDefault(self.labelCol), QUANTILES).first()
-        values = {name: float(row[name]) if row[name] is not None else 0.0 for name in QUANTILES}
+        weight = self.getOrDefault(self.weightCol) if self.getOrDefault(self.weighted) else ""
+        values = percentiles(df, self.getOrDefault(self.labelCol), QUANTILES, weight)
         return self._copyValues(ConstantQuantileModel(values))
 
 

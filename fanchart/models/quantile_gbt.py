@@ -10,19 +10,18 @@ from __future__ import annotations
 import math
 from multiprocessing.pool import ThreadPool
 
-from pyspark import SparkContext, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
 from pyspark.ml.wrapper import JavaWrapper
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from fanchart.functions.quantiles import exact_percentile, number_array, weighted_quantiles
+from fanchart.functions.quantiles import number_array, percentiles, weighted_quantiles
 from fanchart.models.base import QuantileEstimator, QuantileModel, keyword_only, text_columns
 from fanchart.schema import QUANTILES
-from fanchart.session import cut_lineage, small_side
+from fanchart.session import cut_lineage, drop_written, scratch_path, small_side
 
 # Below this many training rows no tree is grown and the model predicts the training quantiles.
 FEWEST_ROWS = 4
@@ -39,16 +38,22 @@ def softened(min_leaf: int, depth: int, n: int) -> tuple[int, int]:
     return max(1, min(min_leaf, n // 10)), max(1, min(depth, int(math.log2(max(2, n - 1)))))
 
 
-def target_means_by_date(train: DataFrame, column: str, label: str) -> DataFrame:
-    """Mean target of a category before each date, as (column, date, code).
+def _sums(label: str, weight: str) -> list[Column]:
+    """Weighted sum of the target as s and its weight as c; every row weighs 1 without a weight column."""
+    w = F.when(F.col(label).isNotNull(), F.col(weight) if weight else F.lit(1.0))
+    return [F.sum(F.col(label) * w).alias("s"), F.sum(w).alias("c")]
+
+
+def target_means_by_date(train: DataFrame, column: str, label: str, weight: str = "") -> DataFrame:
+    """Weighted mean target of a category before each date, as (column, date, code).
 
     Sums per (category, date) come first, so the running window sees at most one row per date of a category, however
     many rows the category has. Before a category's first date the overall mean up to then stands in; it has one row
     per date, so its broadcast is bounded by the calendar.
     """
-    daily = train.groupBy(column, "date").agg(F.sum(label).alias("s"), F.count(label).alias("c"))
+    daily = train.groupBy(column, "date").agg(*_sums(label, weight))
     earlier = Window.partitionBy(column).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    prior = overall_mean_by_date(train, label)
+    prior = overall_mean_by_date(train, label, weight)
     runs = daily.select(
         column,
         "date",
@@ -59,22 +64,26 @@ def target_means_by_date(train: DataFrame, column: str, label: str) -> DataFrame
     return runs.select(column, "date", mean.alias("code"))
 
 
-def overall_mean_by_date(train: DataFrame, label: str) -> DataFrame:
-    """Mean target of all rows before each date (0 on the first), as (date, prior).
+def overall_mean_by_date(train: DataFrame, label: str, weight: str = "") -> DataFrame:
+    """Weighted mean target of all rows before each date (0 on the first), as (date, prior).
 
     The window runs over one row per date, so the calendar bounds it, whatever the number of rows.
     """
-    dates = train.groupBy("date").agg(F.sum(label).alias("s"), F.count(label).alias("c"))
+    dates = train.groupBy("date").agg(*_sums(label, weight))
     earlier = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return dates.select("date", F.coalesce(F.try_divide(F.sum("s").over(earlier), F.sum("c").over(earlier)), F.lit(0.0)).alias("prior"))
 
 
-def target_means(train: DataFrame, column: str, label: str) -> DataFrame:
-    """Mean target of a category over all training rows, as (column, code), for rows after the training dates."""
-    overall = train.agg(F.avg(label).alias("m")).scalar()
-    return train.groupBy(column).agg(
-        ((F.sum(label) + PRIOR_ROWS * overall) / (F.count(label) + PRIOR_ROWS)).alias(encoded(column))
-    )
+def overall_mean(train: DataFrame, label: str, weight: str = "") -> float:
+    s, c = train.agg(*_sums(label, weight)).first()
+    return float(s) / c if c else 0.0
+
+
+def target_means(train: DataFrame, column: str, label: str, weight: str = "") -> DataFrame:
+    """Weighted mean target of a category over all training rows, as (column, code), for rows after the training dates."""
+    overall = overall_mean(train, label, weight)
+    sums = train.groupBy(column).agg(*_sums(label, weight)).na.fill(0, ["s", "c"])
+    return sums.select(column, ((F.col("s") + PRIOR_ROWS * overall) / (F.col("c") + PRIOR_ROWS)).alias(encoded(column)))
 
 
 class QuantileGBT(QuantileEstimator):
@@ -154,15 +163,14 @@ class QuantileGBT(QuantileEstimator):
         one_hot = [c for c in categorical if c not in by_target]
         n = df.agg(F.count(label)).first()[0]
 
-        start = exact_percentile(df, [], label, {q: QUANTILES[q] for q in p["quantiles"]}).first()
-        start = {q: float(start[q]) if start and start[q] is not None else 0.0 for q in p["quantiles"]}
+        start = percentiles(df, label, {q: QUANTILES[q] for q in p["quantiles"]}, p["weightCol"])
         rounds = p["rounds"] if n >= FEWEST_ROWS else 0
         if rounds == 0:
             return self._copyValues(QuantileGBTModel(start=start))
 
         coded = df.filter(F.col(label).isNotNull())
         for c in by_target:
-            codes = small_side(target_means_by_date(df, c, label))
+            codes = small_side(target_means_by_date(df, c, label, p["weightCol"]))
             coded = coded.join(codes, [c, "date"], "left").withColumnRenamed("code", encoded(c))
         numeric = [c for c in features if c not in categorical] + [encoded(c) for c in by_target]
         encoder = _assembler(numeric, one_hot).fit(coded)
@@ -172,19 +180,18 @@ class QuantileGBT(QuantileEstimator):
         try:
             with ThreadPool(min(p["parallelism"], len(start))) as pool:
                 boost = inheritable_thread_target(df.sparkSession)(
-                    lambda q: _boost(train, QUANTILES[q], start[q], rounds, n, p)
+                    lambda q: _forest(df.sparkSession, *_boost(train, QUANTILES[q], start[q], rounds, n, p))
                 )
-                grown = dict(zip(start, pool.map(boost, start)))
+                forests = dict(zip(start, pool.map(boost, start)))
         finally:
             train.unpersist()
         model = QuantileGBTModel(
             start=start,
             learning_rate=p["learningRate"],
-            leaves={q: leaves for q, (_, leaves) in grown.items()},
-            forests={q: _forest(trees) for q, (trees, _) in grown.items()},
+            forests=forests,
             encoder=encoder,
-            codes={c: small_side(target_means(df, c, label)) for c in by_target},
-            overall=float(df.agg(F.avg(label)).first()[0]) if by_target else 0.0,
+            codes={c: small_side(target_means(df, c, label, p["weightCol"])) for c in by_target},
+            overall=overall_mean(df, label, p["weightCol"]) if by_target else 0.0,
             inputs=features,
         )
         return self._copyValues(model)
@@ -242,24 +249,40 @@ def _boost(train: DataFrame, tau: float, start: float, rounds: int, n: int, p: d
     return trees, leaves
 
 
-def _forest(trees: list) -> GBTRegressionModel:
-    """The trees of one quantile as one Spark ML model, which gives all leaf numbers of a row in one call."""
-    jvm = SparkContext._active_spark_context._jvm
+def _forest(spark: SparkSession, trees: list, leaves: list[list[float]]) -> GBTRegressionModel:
+    """The trees of one quantile as one Spark ML model whose leaves hold ``leaves``: its prediction is their plain sum.
+
+    The model is saved, the predictions of its leaf nodes are replaced in the saved nodes, and it is loaded again. Leaves
+    are numbered by node id, as ``leafCol`` does. Scoring is then one call per row, whatever the number of trees.
+    """
+    jvm = spark.sparkContext._jvm
     tree_class = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
     nodes = JavaWrapper._new_java_array([t._java_obj for t in trees], tree_class)
     ones = JavaWrapper._new_java_array([1.0] * len(trees), jvm.double)
     name = "org.apache.spark.ml.regression.GBTRegressionModel"
-    return GBTRegressionModel(JavaWrapper._new_java_obj(name, f"forest_{trees[0].uid}", nodes, ones))
+    path = scratch_path(spark)
+    GBTRegressionModel(JavaWrapper._new_java_obj(name, f"forest_{trees[0].uid}", nodes, ones)).save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    # One tree's nodes are at most 2^(depth + 1).
+    order = Window.partitionBy("treeID").orderBy("nodeData.id").rowsBetween(Window.unboundedPreceding, 0)
+    is_leaf = F.col("nodeData.leftChild") < 0
+    numbered = saved.withColumn("leaf", F.when(is_leaf, F.sum(is_leaf.cast("int")).over(order) - 1))
+    listed = [(t, i, float(v)) for t, values in enumerate(leaves) for i, v in enumerate(values)]
+    values = spark.createDataFrame(listed, "treeID int, leaf bigint, value double")
+    held = F.col("nodeData").withField("prediction", F.coalesce("value", "nodeData.prediction"))
+    changed = cut_lineage(numbered.join(values, ["treeID", "leaf"], "left").select("treeID", held.alias("nodeData")))
+    changed.write.mode("overwrite").parquet(f"{path}/data")
+    drop_written(changed)
+    return GBTRegressionModel.load(path)
 
 
 class QuantileGBTModel(QuantileModel):
-    """Forests, their leaf values, the encoder and the category means. A quantile that was not fitted is NULL."""
+    """Forests, the encoder and the category means. A quantile that was not fitted is NULL."""
 
     def __init__(
         self,
         start: dict[str, float] | None = None,
         learning_rate: float = 0.0,
-        leaves: dict[str, list[list[float]]] | None = None,
         forests: dict[str, GBTRegressionModel] | None = None,
         encoder: PipelineModel | None = None,
         codes: dict[str, DataFrame] | None = None,
@@ -270,13 +293,12 @@ class QuantileGBTModel(QuantileModel):
         self.inputs = inputs or []
         self.start = start or {}
         self.learning_rate = learning_rate
-        self.leaves = leaves or {}
         self.forests = forests or {}
         self.encoder = encoder
         self.codes = codes or {}
         self.overall = overall
         for q, forest in self.forests.items():
-            forest.setPredictionCol("").setLeafCol(f"{q}__leaves")
+            forest.setPredictionCol(f"{q}__sum")
 
     @property
     def is_constant(self) -> bool:
@@ -303,20 +325,14 @@ class QuantileGBTModel(QuantileModel):
             scored = self.encoder.transform(df.withColumns(codes) if codes else df)
             for q, forest in self.forests.items():
                 scored = forest.transform(scored)
-                chosen = F.zip_with(
-                    vector_to_array(f"{q}__leaves"),
-                    number_array(self.leaves[q]),
-                    lambda leaf, values: F.get(values, leaf.cast("int")),
-                )
-                total = F.aggregate(chosen, F.lit(0.0), lambda a, b: a + b)
-                found[q] = F.lit(self.start[q]) + self.learning_rate * total
+                found[q] = F.lit(self.start[q]) + self.learning_rate * F.col(f"{q}__sum")
         return scored.select(*[c for c in kept if c not in found], *[v.alias(q) for q, v in found.items()])
 
     def _state(self) -> dict:
         return {
             "start": self.start,
             "learning_rate": self.learning_rate,
-            "leaves": self.leaves,
+            "quantiles": list(self.forests),
             "codes": list(self.codes),
             "overall": self.overall,
             "inputs": self.inputs,
@@ -335,9 +351,8 @@ class QuantileGBTModel(QuantileModel):
         return cls(
             start=state["start"],
             learning_rate=state["learning_rate"],
-            leaves=state["leaves"],
-            forests={q: GBTRegressionModel.load(f"{path}/forest_{q}") for q in state["leaves"]},
-            encoder=PipelineModel.load(f"{path}/encoder") if state["leaves"] else None,
+            forests={q: GBTRegressionModel.load(f"{path}/forest_{q}") for q in state["quantiles"]},
+            encoder=PipelineModel.load(f"{path}/encoder") if state["quantiles"] else None,
             codes={c: spark.read.parquet(f"{path}/codes_{c}") for c in state["codes"]},
             overall=state["overall"],
             inputs=state["inputs"],

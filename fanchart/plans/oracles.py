@@ -351,6 +351,17 @@ select category, round(avg(abs(qty - (p50 + r10))) / greatest(avg(scale), 1e-9),
 select round(quantile_cont(l_extendedprice, 0.1), 6) as p10, round(quantile_cont(l_extendedprice, 0.5), 6) as p50,
   round(quantile_cont(l_extendedprice, 0.9), 6) as p90 from lineitem"""
 
+    sql["constant_quantiles_weighted"] = """
+with lines as (
+  select l_returnflag as flag, l_extendedprice as v, l_quantity as w from lineitem
+  union all select 'ALL', l_extendedprice, l_quantity from lineitem
+), upto as (
+  select flag, v, sum(w) over (partition by flag order by v) as reached, sum(w) over (partition by flag) as total
+  from lines where w > 0 and v is not null
+)
+select flag, min(case when reached >= 0.1 * total then v end) as p10, min(case when reached >= 0.5 * total then v end) as p50,
+  min(case when reached >= 0.9 * total then v end) as p90 from upto group by 1"""
+
     sql["rolling_folds"] = f"""{with_(month, fold_table('panel'))}
 select fold, cast(train_start as varchar) as train_start, cast(train_end as varchar) as train_end,
   cast(test_start as varchar) as test_start, cast(test_end as varchar) as test_end from bounds"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from fanchart.functions.dates import DAY_FIRST_FORMATS, parse_date
 from fanchart.functions.frames import last_known, lagged
 from fanchart.functions.metrics import METRICS, mase, quantile_scores
-from fanchart.functions.quantiles import exact_percentile
+from fanchart.functions.quantiles import exact_percentile, percentiles, weighted_quantiles
 from fanchart.functions.text import normalise_sku
 from fanchart.grain import DAILY, MONTHLY, Grain
 from fanchart.models.closed_form import (
@@ -236,6 +236,20 @@ def constant_quantiles(spark, sf_dir):
     return found.withColumns({q: F.round(q, 6) for q in QUANTILES})
 
 
+def constant_quantiles_weighted(spark, sf_dir):
+    """Price quantiles by quantity sold, of every return flag's own lines and of all of them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    # A handful of flags; one row per flag reaches the driver.
+    flags = [r[0] for r in lines.select("l_returnflag").distinct().orderBy("l_returnflag").collect()]
+    number = F.coalesce(*[F.when(F.col("l_returnflag").eqNullSafe(flag), F.lit(i)) for i, flag in enumerate(flags)], F.lit(-1))
+    numbered = lines.filter("l_extendedprice is not null and l_quantity > 0").withColumn("k", number)
+    found = {q: weighted_quantiles(numbered, "k", "l_extendedprice", "l_quantity", tau) for q, tau in QUANTILES.items()}
+    rows = [(flag, *[float(found[q][i]) for q in QUANTILES]) for i, flag in enumerate(flags) if i in found["p50"]]
+    whole = percentiles(lines, "l_extendedprice", QUANTILES, "l_quantity")
+    rows.append(("ALL", *[whole[q] for q in QUANTILES]))
+    return spark.createDataFrame(rows, "flag string, " + ", ".join(f"{q} double" for q in QUANTILES))
+
+
 def folds(spark, sf_dir):
     return rolling_folds(written_panel(spark, sf_dir, MONTHLY), FOLDS, HORIZON)
 
@@ -482,6 +496,7 @@ QUERIES: dict[str, Query] = {
     "metrics_wape_smape_pinball": metrics_wape_smape_pinball,
     "metrics_mase": metrics_mase,
     "constant_quantiles": constant_quantiles,
+    "constant_quantiles_weighted": constant_quantiles_weighted,
     "rolling_folds": folds,
     "fold_assignment": fold_assignment,
     "walk_forward_folds": walk_forward_folds,

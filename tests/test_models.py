@@ -1,7 +1,12 @@
+import re
+
 import pytest
 import tables
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from fanchart.functions.quantiles import percentiles
 from fanchart.grain import MONTHLY
 from fanchart.models.closed_form import ConstantQuantile, LastValue, SeasonalNaive, SeasonalNaiveModel
 from fanchart.models.ensemble import (
@@ -11,7 +16,7 @@ from fanchart.models.ensemble import (
     exponential_weights,
     mean_of_experts,
 )
-from fanchart.models.quantile_gbt import QuantileGBT, QuantileGBTModel, softened, target_means_by_date
+from fanchart.models.quantile_gbt import QuantileGBT, QuantileGBTModel, _forest, softened, target_means_by_date
 from fanchart.operators.backtest import prepare_features
 from fanchart.operators.features import add_features
 from fanchart.operators.search import best_params, draw, fit_best, random_search, search_ranges
@@ -92,11 +97,48 @@ def test_trees_beat_the_constant_and_cover(spark, features, encoding, tmp_path):
     model.save(str(tmp_path / encoding))
     again = QuantileGBTModel.load(str(tmp_path / encoding))
     assert again.transform(features).exceptAll(scored).count() == 0
-    assert again.leaves == model.leaves and again.input_columns() == MONTHLY.feature_columns()
+    assert [f.getNumTrees for f in again.forests.values()] == [5] * 3 and again.input_columns() == MONTHLY.feature_columns()
     unseen = features.limit(1).withColumns({"sku": F.lit("never seen"), "y_lag12": F.lit(None).cast("double")})
     assert model.transform(unseen).first().p50 is not None
 
 
+def test_forest_sums_its_own_leaf_values(spark):
+    rows = spark.range(400).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("y", F.col("a") * 3 + F.col("b"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).cache()
+    learner = DecisionTreeRegressor(labelCol="y", leafCol="leaf", predictionCol="step")
+    trees = [learner.copy({learner.maxDepth: d}).fit(rows) for d in (1, 3, 4)]
+    leaves = [[t * 100.0 + i * i for i in range(tree.numNodes)] for t, tree in enumerate(trees)]
+    sums = _forest(spark, trees, leaves).transform(rows).select("a", "prediction")
+    wanted = {}
+    for tree, values in zip(trees, leaves):
+        for r in tree.transform(rows).select("a", "leaf").collect():
+            wanted[r.a] = wanted.get(r.a, 0.0) + values[int(r.leaf)]
+    assert {r.a: r.prediction for r in sums.collect()} == wanted
+
+
+def test_plan_does_not_grow_with_the_trees(features):
+    sizes = []
+    for rounds in (1, 6):
+        expert = QuantileGBT(featureCols=["y_lag12", "month"], quantiles=["p50"], rounds=rounds, maxDepth=3)
+        plan = expert.fit(features).transform(features)._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(re.sub(r"\d+", "0", plan)))
+    assert abs(sizes[1] - sizes[0]) < 0.05 * sizes[0]
+
+
+def test_weights_count_in_starts_codes_and_constants(spark):
+    d = tables.month_ends(2)
+    rows = [(d[0], "a", "c", 10.0, 3.0), (d[0], "b", "c", 20.0, 1.0), (d[1], "a", "c", 30.0, 0.0), (d[1], "b", "c", None, 9.0)]
+    train = spark.createDataFrame(rows, "date date, sku string, category string, qty double, w double")
+    codes = {r.date: r.code for r in target_means_by_date(train, "category", "qty", "w").collect()}
+    # (10 * 3 + 20 + the prior 12.5) / (4 + 1)
+    assert codes == pytest.approx({d[0]: 0.0, d[1]: 12.5})
+    assert percentiles(train, "qty", {"a": 0.5, "b": 0.75, "c": 0.8}, "w") == {"a": 10.0, "b": 10.0, "c": 20.0}
+    assert percentiles(train.filter("w = 9"), "qty", {"a": 0.5}, "w") == {"a": 0.0}
+    model = ConstantQuantile(weightCol="w", weighted=True).fit(train)
+    assert first(model, train) == [(10.0, 10.0, 20.0)]
+    assert first(ConstantQuantile(weightCol="w").fit(train), train) == [pytest.approx((12.0, 20.0, 28.0))]
+
+
 def test_named_columns_choose_their_coding(features):
     inputs = ["sku", "category", "y_lag12"]
     model = QuantileGBT(featureCols=inputs, encoding="onehot", targetCols=["sku"], rounds=1).fit(features)
@@ -178,6 +220,6 @@ def test_search_picks_the_smallest_loss(features):
     assert len(rows) == 2 and all(r.state == "COMPLETE" and r.value < 1e5 for r in rows)
     assert found.best["rounds"] == rows[0].params_rounds == best_params(found.trials)["rounds"]
     model = fit_best(expert, features, found.best)
-    assert len(model.leaves["p50"]) == found.best["rounds"] and set(model.leaves) == {"p10", "p50", "p90"}
+    assert model.forests["p50"].getNumTrees == found.best["rounds"] and set(model.forests) == {"p10", "p50", "p90"}
     with pytest.raises(NoValidFoldError):
         random_search(expert, features.limit(20), MONTHLY, ranges, trials=1, k=1, horizon=500)
