@@ -462,9 +462,14 @@ with months as (
     case when p_size > 25 and month(date) in (3, 9) or p_size <= 25 and month(date) in (11, 12) then 1 else 0 end
       as promo_flag
   from part, months
+), hashed as (
+  select *, md5(sku || ':' || i || ':7') as digest from flagged
+), even as (
+  select *, (cast('0x' || substr(digest, 1, 12) as bigint) + 0.5::double) / 16.0::double ** 12 as u,
+    (cast('0x' || substr(digest, 13, 12) as bigint) + 0.5::double) / 16.0::double ** 12 as v from hashed
 )
 select cast(date as varchar) as date, sku, promo_flag,
   round(greatest(base + (i - p_size) * (p_size / 100.0) + 12 * sin(2 * pi() * month(date) / 12)
-    + 6 * cos(2 * pi() * month(date) / 6) + 10 * promo_flag, 0), 2) as qty
-from flagged"""
+    + 6 * cos(2 * pi() * month(date) / 6) + 10 * promo_flag + 5 * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 0), 2) as qty
+from even"""
     return sql

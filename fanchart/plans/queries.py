@@ -25,7 +25,7 @@ from fanchart.operators import features as feat, forecast as fc, panel as pn, se
 from fanchart.operators.backtest import mean_scores, prepare_features, walk_forward, walk_forward_seasonal
 from fanchart.operators.folds import assign_folds, rolling_folds
 from fanchart.operators.promo import attach_plan
-from fanchart.operators.search import random_search
+from fanchart.operators.search import guided_search
 from fanchart.operators.weights import add_training_weight
 from fanchart.plans.tables import daily_sales, last_year_plan, sales_panel, table, written_panel
 from fanchart.schema import QUANTILES
@@ -395,7 +395,7 @@ def hyperparameter_search(spark, sf_dir):
     features = complete_features(spark, sf_dir)
     ranges = {"rounds": (2, 3), "maxDepth": (3, 5), "learningRate": (0.1, 0.5), "minInstancesPerNode": (10, 200)}
     expert = QuantileGBT(featureCols=MONTHLY.feature_columns(), encoding="target")
-    found = random_search(expert, features, MONTHLY, ranges, trials=2, k=2, horizon=HORIZON)
+    found = guided_search(expert, features, MONTHLY, ranges, trials=4, k=2, horizon=HORIZON, startup=2)
     return found.trials.drop("datetime_start", "datetime_complete", "duration")
 
 
@@ -466,7 +466,7 @@ def synthetic(spark, sf_dir):
         .otherwise(F.array(F.lit(11), F.lit(12)))
         .alias("promo_months"),
     )
-    return synthetic_panel(items, noise=0.0)
+    return synthetic_panel(items)
 
 
 QUERIES: dict[str, Query] = {

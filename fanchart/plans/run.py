@@ -16,7 +16,7 @@ from fanchart.operators.backtest import prepare_features
 from fanchart.operators.features import add_features
 from fanchart.operators.forecast import recursive_forecast
 from fanchart.operators.panel import keep_lookback, require_unique_key
-from fanchart.operators.search import fit_best, random_search, search_ranges
+from fanchart.operators.search import fit_best, guided_search, random_search, search_ranges
 from fanchart.operators.series import export_table
 from fanchart.sources.params import load_best_params, write_best_params, write_trials
 from fanchart.sources.sales import read_promo_plan, write_csv, write_forecast, write_normalised
@@ -43,6 +43,8 @@ class RunConfig:
     search_folds: int = 4
     trials: int = 50
     search_round_scale: int = 1
+    # Draws guided by finished trials, or "random". A guided search that was stopped goes on from its log.
+    sampler: str = "guided"
     # Trees per quantile; None takes each encoding's own number.
     rounds: int | None = None
     date_formats: tuple[str, ...] = ISO_FORMATS
@@ -61,16 +63,16 @@ def search_and_save(spark: SparkSession, config: RunConfig, features: DataFrame,
     """Search one tree expert, write its trials and best parameters, fit it on all rows and save it."""
     grain = grain_of(config.freq)
     expert = QuantileGBT(featureCols=grain.feature_columns(), encoding=encoding)
-    found = random_search(
-        expert,
-        features,
-        grain,
-        search_ranges(encoding, config.search_round_scale),
-        trials=config.trials,
-        k=config.search_folds,
-        horizon=config.horizon,
-    )
+    if config.sampler not in ("guided", "random"):
+        raise ValueError("sampler must be guided or random")
     name = f"{encoding}_{config.freq}"
+    settings = {"trials": config.trials, "k": config.search_folds, "horizon": config.horizon}
+    ranges = search_ranges(encoding, config.search_round_scale)
+    if config.sampler == "guided":
+        log = f"{config.output_path}/search_batches_{name}"
+        found = guided_search(expert, features, grain, ranges, **settings, log_path=log)
+    else:
+        found = random_search(expert, features, grain, ranges, **settings)
     write_trials(found.trials, f"{config.output_path}/search_trials_{name}")
     write_best_params(spark, found.best, f"{config.output_path}/best_params_{name}")
     model = fit_best(expert, features, found.best)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Level, trend origin (months after the start), trend per month and promoted months of the demo SKUs.
 DEMO_ITEMS = [
@@ -21,10 +21,20 @@ def demo_items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEMO_ITEMS, ITEM_SCHEMA)
 
 
+def normal_noise(item: str, at: str, seed: int) -> Column:
+    """A standard normal number per item and place: two even ones from a digest, turned by Box and Muller's method."""
+    digest = F.md5(F.concat_ws(":", F.col(item), F.col(at).cast("string"), F.lit(str(seed))).cast("binary"))
+    even = [(F.conv(F.substring(digest, first, 12), 16, 10).cast("double") + 0.5) / 16.0**12 for first in (1, 13)]
+    return F.sqrt(-2 * F.log(even[0])) * F.cos(2 * math.pi * even[1])
+
+
 def synthetic_panel(
     items: DataFrame, start: str = DEMO_START, end: str = DEMO_END, noise: float = NOISE, seed: int = 7
 ) -> DataFrame:
-    """One row per item and month end: level, linear trend, two seasonal waves, promotion boost and noise, at least 0."""
+    """One row per item and month end: level, linear trend, two seasonal waves, promotion boost and noise, at least 0.
+
+    The noise follows from item, month and seed alone, so partitions cannot change it.
+    """
     first, last = F.last_day(F.lit(start).cast("date")), F.last_day(F.lit(end).cast("date"))
     months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first)
     grid = items.withColumn("i", F.explode(F.sequence(F.lit(0), months)))
@@ -34,7 +44,7 @@ def synthetic_panel(
     wave = YEAR_SWING * F.sin(2 * math.pi * month / 12) + HALF_YEAR_SWING * F.cos(2 * math.pi * month / 6)
     level = F.col("base") + (F.col("i") - F.col("origin")) * F.col("slope") + wave + PROMO_BOOST * promo
     if noise:
-        level = level + noise * F.randn(seed)
+        level = level + noise * normal_noise("sku", "i", seed)
     return grid.select(
         "date", "sku", F.round(F.greatest(level, F.lit(0.0)), 2).alias("qty"), promo.alias("promo_flag")
     )

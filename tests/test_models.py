@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -19,7 +21,15 @@ from fanchart.models.ensemble import (
 from fanchart.models.quantile_gbt import QuantileGBT, QuantileGBTModel, _forest, softened, target_means_by_date
 from fanchart.operators.backtest import prepare_features
 from fanchart.operators.features import add_features
-from fanchart.operators.search import best_params, draw, fit_best, random_search, search_ranges
+from fanchart.operators.search import (
+    best_params,
+    draw,
+    fit_best,
+    guided_search,
+    guided_trials,
+    random_search,
+    search_ranges,
+)
 from fanchart.plans.tables import sales_panel
 
 
@@ -203,8 +213,6 @@ def test_saved_naive(spark, features, tmp_path):
 
 
 def test_search_ranges_and_draws():
-    import random
-
     assert search_ranges("onehot")["rounds"] == (300, 1400) and "minInstancesPerNode" not in search_ranges("target")
     rng = random.Random(1)
     for _ in range(200):
@@ -212,6 +220,48 @@ def test_search_ranges_and_draws():
         assert 300 <= p["rounds"] <= 1400 and 0.02 <= p["learningRate"] <= 0.2 and 4 <= p["maxDepth"] <= 7
 
 
+RANGES = {"rounds": (1, 100), "learningRate": (0.001, 1.0), "maxDepth": (1, 10)}
+
+
+def bowl(_, p):
+    """Least, at 0, for 30 rounds, a rate of 0.05 and a depth of 7."""
+    return ((p["rounds"] - 30) / 30) ** 2 + math.log(p["learningRate"] / 0.05) ** 2 + ((p["maxDepth"] - 7) / 3) ** 2
+
+
+def test_guided_draws_beat_random_ones():
+    guided, plain = [], []
+    for seed in range(10):
+        guided.append(min(loss for _, loss, _ in guided_trials(bowl, RANGES, 40, seed)))
+        rng = random.Random(seed)
+        plain.append(min(bowl(0, draw(RANGES, rng)) for _ in range(40)))
+    assert sum(g < p for g, p in zip(guided, plain)) >= 8 and sum(guided) < 0.5 * sum(plain)
+
+
+def test_guided_draws_stay_in_their_ranges():
+    for _, _, p in guided_trials(bowl, RANGES | {"minInstancesPerNode": (5, 5)}, 60, 3):
+        assert 1 <= p["rounds"] <= 100 and 0.001 <= p["learningRate"] <= 1 and 1 <= p["maxDepth"] <= 10
+        assert p["minInstancesPerNode"] == 5 and all(isinstance(p[n], int) for n in ("rounds", "maxDepth"))
+
+
+def test_a_resumed_search_makes_the_same_trials():
+    whole = guided_trials(bowl, RANGES, 25, 4, batch=3, startup=6)
+    ran = []
+    again = guided_trials(lambda n, p: ran.append(n) or bowl(n, p), RANGES, 25, 4, 3, 6, known=whole[:14])
+    # The batch of trials 12 to 14 was not whole.
+    assert again == whole and ran == list(range(12, 25))
+
+
+def test_guided_search_goes_on_from_its_log(features, tmp_path):
+    expert = QuantileGBT(featureCols=["y_lag12", "month"], encoding="target")
+    ranges = {"rounds": (1, 2), "maxDepth": (2, 3)}
+    settings = {"k": 2, "horizon": 12, "startup": 2, "log_path": str(tmp_path / "log")}
+    first = guided_search(expert, features, MONTHLY, ranges, trials=2, **settings).trials.collect()
+    more = guided_search(expert, features, MONTHLY, ranges, trials=3, **settings)
+    rows = more.trials.orderBy("number").collect()
+    assert [tuple(r) for r in rows[:2]] == [tuple(r) for r in sorted(first)] and [r.number for r in rows] == [0, 1, 2]
+    assert more.best == best_params(more.trials)
+
+
 def test_search_picks_the_smallest_loss(features):
     expert = QuantileGBT(featureCols=["y_lag12", "mean_12m", "month"], encoding="target")
     ranges = {"rounds": (1, 2), "maxDepth": (2, 3), "learningRate": (0.1, 0.5)}

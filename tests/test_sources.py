@@ -68,6 +68,10 @@ def test_best_params(spark, tmp_path):
 
 def test_demo_panel(spark):
     rows = synthetic_panel(demo_items(spark)).collect()
+    assert sorted(rows) == sorted(synthetic_panel(demo_items(spark).repartition(7)).collect())
+    plain = {(r.sku, r.date): r.qty for r in synthetic_panel(demo_items(spark), noise=0.0).collect()}
+    off = [r.qty - plain[r.sku, r.date] for r in rows if r.qty and plain[r.sku, r.date]]
+    assert abs(sum(off) / len(off)) < 1.2 and 4 < (sum(x * x for x in off) / len(off)) ** 0.5 < 6
     assert len(rows) == 3 * 72 and min(r.qty for r in rows) >= 0
     assert {(r.sku, r.date.month) for r in rows if r.promo_flag} == {("A", 3), ("A", 9), ("B", 11), ("B", 12)}
 
