@@ -18,6 +18,7 @@ from fanchart.operators.forecast import recursive_forecast
 from fanchart.operators.panel import keep_lookback, require_unique_key
 from fanchart.operators.search import fit_best, guided_search, random_search, search_ranges
 from fanchart.operators.series import export_table
+from fanchart.session import drop_path
 from fanchart.sources.params import load_best_params, write_best_params, write_trials
 from fanchart.sources.sales import read_promo_plan, write_csv, write_forecast, write_normalised
 
@@ -74,6 +75,9 @@ def search_and_save(spark: SparkSession, config: RunConfig, features: DataFrame,
     else:
         found = random_search(expert, features, grain, ranges, **settings)
     write_trials(found.trials, f"{config.output_path}/search_trials_{name}")
+    # The trials are written whole; a later run, with newer sales perhaps, searches anew.
+    if config.sampler == "guided":
+        drop_path(spark, log)
     write_best_params(spark, found.best, f"{config.output_path}/best_params_{name}")
     model = fit_best(expert, features, found.best)
     model.write().overwrite().save(f"{config.output_path}/model_{name}_best")

@@ -52,6 +52,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return _file_system(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    _file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def cut_lineage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Write ``df`` (or only ``columns`` of it) to the shared folder and go on from there.
 
