@@ -6,41 +6,49 @@ pattern the probability that the fault is absent; a document's posterior is the
 bounded sample train a hashed linear scorer, which sees the words and the votes, and which decides on every document.
 
 Counts of vote patterns cover all documents; there are at most 3^labellers of them, so they fit on the driver whatever
-the input. The word list of the last two labellers comes from labelled rows, at most ``LABELLED`` of them; the scorer is
-fitted on ``FITTED`` documents, all features of each, by a Spark job a step. Both samples take the
-smallest hashes of ids, so they do not depend on order; rows of equal ids are fitted on together.
+the input. The words of the last two labellers come from at most ``LABELLED`` distinct labelled texts; the scorer is
+fitted on at most ``FITTED`` distinct texts, all features of each, by a Spark job a step. Both samples take the smallest
+hashes of texts, so they do not depend on order, and copies or rows of one id, however many, count once.
+
+A word is listed if the lower confidence bound of its share of toxic texts is far above theirs of all texts. Words are
+listed by hash, one number a bucket, so that the list has a fixed size and every word that passes is in it. The product
+of one minus the bounds, over a text's different listed words, must be at most ``DOUBT`` for a rejection, so that a word
+listed on little evidence does not tell alone; beyond it the labeller abstains.
 
 Null and empty texts have no words; only the labellers for emptiness reject them. Repeated rows count as often as they
-occur. Without labels the word list is empty and its labellers abstain. An empty table gives an empty result.
+occur, but in the samples. Without labels no word is listed and its labellers abstain. A label of 1 is toxic; an id with
+several labels is toxic if one of them is. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import eq
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fanchart.llm.arrow import map_rows
 from fanchart.llm.decontaminate import words_of
-from fanchart.llm.sampling import smallest_hashes
+from fanchart.llm.sampling import distinct_texts, smallest_hashes
 from fanchart.session import cut_lineage
 
 KEEP, REJECT, ABSTAIN = "k", "r", "a"
-# Bounds of the two samples, of the word list, and the number of hashed features.
-LABELLED, FITTED, LISTED, FEATURES = 20_000, 12_000, 4_000, 1 << 18
-# Tasks of one step of the scorer's fit, at most.
-FIT_TASKS = 32
-# A listed word would be in toxic documents alone with at most this probability, were it spread by chance.
-CHANCE = 1e-6
+# Bounds of the two samples, and the number of hashed features.
+LABELLED, FITTED, FEATURES = 20_000, 12_000, 1 << 18
+# Tasks of one step of the scorer's fit.
+FIT_TASKS = 16
+# Buckets of listed words; word beginnings have as many of their own.
+BUCKETS = 1 << 20
+# Standard deviations of the confidence bound, and the doubt that listed words may leave.
+DEVIATIONS, DOUBT = 1.645, 0.2
 # Shares of faulty and sound documents to start from; they stand where no labeller votes.
 EXPECTED = np.array([0.05, 0.95])
-# Bytes of a word's beginning.
-PREFIX = 6
+# Bytes of a word's beginning, and the hash that beginnings start from, so that they differ from words.
+PREFIX, MARKED = 6, zlib.crc32(b"\0")
 # Labellers by the fault they look for. A document is bad if it has any fault, and faults come without one another.
 ASPECTS = {
     "symbols": ["symbols", "symbol_runs", "bars"],
@@ -61,8 +69,25 @@ def _vote(n: int, share: float, keep_up_to: float, reject_from: float) -> str:
     return KEEP if share <= keep_up_to and n >= 20 else ABSTAIN
 
 
-def votes_of(text: str | None, words: list[bytes], listed: frozenset[bytes], prefixes: frozenset[bytes]) -> str:
-    """One letter per labeller."""
+def hashes_of(words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different words, and of their different beginnings."""
+    different = set(words)
+    beginnings = {w[:PREFIX] for w in different}
+    return (
+        np.fromiter(map(zlib.crc32, different), np.int64, len(different)),
+        np.fromiter((zlib.crc32(w, MARKED) for w in beginnings), np.int64, len(beginnings)),
+    )
+
+
+def listed_vote(n: int, found: float, known: bool) -> str:
+    """By the evidence of listed words or beginnings."""
+    if found >= -np.log(DOUBT):
+        return REJECT
+    return KEEP if known and not found and n >= 20 else ABSTAIN
+
+
+def votes_of(text: str | None, words: list[bytes], hashes: tuple[np.ndarray, np.ndarray], listed: np.ndarray) -> str:
+    """One letter per labeller; ``listed`` has the evidence per bucket of words, then of beginnings, or is empty."""
     data, n = (text or "").encode(), len(words)
     if not n:
         return "".join(REJECT if name in ASPECTS["emptiness"] else ABSTAIN for name in LABELLERS)
@@ -71,9 +96,8 @@ def votes_of(text: str | None, words: list[bytes], listed: frozenset[bytes], pre
     different = set(words)
     # Words of a very long text recur by nature; the share of different ones is judged against the text's length.
     expected = min(1.0, 6 * n ** -0.4)
-    bad_words = len(different & listed)
-    bad_prefixes = len({w[:PREFIX] for w in different} & prefixes) if prefixes else 0
-    known = bool(listed)
+    known = len(listed) > 0
+    found = [float(listed[own % BUCKETS + i * BUCKETS].sum()) if known else 0.0 for i, own in enumerate(hashes)]
     return "".join(
         [
             _vote(n, (size - len(data.translate(None, _SYMBOLS))) / size, 0.01, 0.08),
@@ -86,40 +110,47 @@ def votes_of(text: str | None, words: list[bytes], listed: frozenset[bytes], pre
             _vote(n, max(Counter(words).values()) / n, 0.15, 0.4) if n >= 20 else ABSTAIN,
             KEEP,
             KEEP if capitals or any(w.isalpha() or not w.isascii() for w in different) else REJECT,
-            REJECT if bad_words else KEEP if known and n >= 20 else ABSTAIN,
-            REJECT if bad_prefixes else KEEP if known and n >= 20 else ABSTAIN,
+            *(listed_vote(n, f, known) for f in found),
         ]
     )
 
 
-def unwanted_words(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[frozenset, frozenset]:
-    """(words, word beginnings) that mark toxic documents, from at most ``limit`` labelled rows and ``LISTED`` words."""
-    known = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic")
-    sample = smallest_hashes(known, "doc_id", known.count(), limit)
-    totals = sample.groupBy("toxic").count().collect()
-    n = {r.toxic: r["count"] for r in totals}
-    if not n.get(1) or not n.get(0):
-        return frozenset(), frozenset()
+def least_share(bad: Column, n: Column, deviations: float = DEVIATIONS) -> Column:
+    """Lower end of Wilson's interval for the share ``bad`` / ``n``."""
+    square = deviations**2
+    spread = F.sqrt(bad * (n - bad) / n + square / 4)
+    return (bad + square / 2 - deviations * spread) / (n + square)
+
+
+def listed_buckets(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarray:
+    """Evidence, -log(1 - bound), of the buckets of words, then of beginnings, that mark toxic documents, 0 where they do
+    not, from at most ``limit`` distinct labelled texts; empty if these are all toxic or all clean."""
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id")
+    known = known.agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    ids = smallest_hashes(known, "doc_id", known.count(), limit)
+    # At most LABELLED narrow rows; one id may have any number of texts.
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = cut_lineage(distinct_texts(rows, limit, F.max("toxic").alias("toxic")))
+    total = texts.agg(F.count("*").alias("all"), F.sum("toxic").alias("bad")).first()
+    if not total.bad or total.bad == total["all"]:
+        return np.zeros(0, dtype=np.float32)
 
     def start():
-        def tokens(text: str | None) -> tuple:
-            # One character per byte, as words are compared as bytes.
-            shown = [w.decode("latin-1") for w in set(words_of(text)) if len(w) > 3]
-            return (sorted({f"w{w}" for w in shown} | {f"p{w[:PREFIX]}" for w in shown if len(w) >= PREFIX}),)
-
-        return tokens
-
-    # At most LABELLED rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    counted = map_rows(rows, ["text"], {"tokens": "array<string>"}, start).select("toxic", F.explode("tokens").alias("t"))
-    counts = counted.groupBy("t").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("bad"), F.count("*").alias("all"))
-    # Far more frequent among toxic documents than its share of them, and often enough not to be chance.
-    share = n[1] / (n[1] + n[0])
-    least = max(4, int(np.ceil(np.log(CHANCE) / np.log(share))))
-    purity = max(0.8, min(0.95, 5 * share))
-    telling = counts.filter((F.col("bad") >= least) & (F.col("bad") >= F.lit(purity) * F.col("all")))
-    found = [r.t for r in telling.orderBy(F.desc("bad"), "t").limit(LISTED).collect()]
-    return tuple(frozenset(t[1:].encode("latin-1") for t in found if t[0] == kind) for kind in "wp")
+        def buckets(text: str | None) -> tuple:
+            words, beginnings = hashes_of(words_of(text))
+            return (np.unique(np.concatenate([words % BUCKETS, beginnings % BUCKETS + BUCKETS])).tolist(),)
+
+        return buckets
+
+    held = map_rows(texts, ["text"], {"buckets": "array<int>"}, start).select("toxic", F.explode("buckets").alias("b"))
+    counts = held.groupBy("b").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    # Halfway from the share of toxic texts to one, at least.
+    share = total.bad / total["all"]
+    low = counts.select("b", least_share(F.col("bad"), F.col("n")).alias("low")).filter(F.col("low") > (1 + share) / 2)
+    found = low.toPandas()
+    evidence = np.zeros(2 * BUCKETS, dtype=np.float32)
+    evidence[found["b"].to_numpy(dtype=np.int64)] = -np.log1p(-found["low"].to_numpy(dtype=float))
+    return evidence
 
 
 def estimate(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[dict[str, float], np.ndarray]:
@@ -161,12 +192,10 @@ def posteriors(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], dict[
     return keep, rates
 
 
-def features_of(words: list[bytes], votes: str) -> np.ndarray:
+def features_of(hashes: tuple[np.ndarray, np.ndarray], votes: str) -> np.ndarray:
     """Hashed presence of words and word beginnings, ascending, then one feature per vote behind the hashed ones."""
-    different = set(words)
-    hashed = [zlib.crc32(w) for w in different] + [zlib.crc32(b"\0" + w) for w in {w[:PREFIX] for w in different}]
     cast = [FEATURES + 3 * i + "kra".index(v) for i, v in enumerate(votes)]
-    return np.concatenate([np.unique(np.array(hashed, dtype=np.int64) % FEATURES), np.array(cast, dtype=np.int64)])
+    return np.concatenate([np.unique(np.concatenate(hashes) % FEATURES), np.array(cast, dtype=np.int64)])
 
 
 def scales_of(features: np.ndarray) -> np.ndarray:
@@ -199,7 +228,7 @@ def fit_scorer(sample: DataFrame, steps: int = 300, rate: float = 0.05, decay: f
     """Weights of the features, and the intercept last, of a logistic scorer for the soft labels of ``sample`` (goal,
     features): full-batch Adam. Tasks keep the documents and sum up their slopes; only slopes reach the driver."""
     context = sample.sparkSession.sparkContext
-    blocks = sample.rdd.coalesce(min(context.defaultParallelism, FIT_TASKS)).mapPartitions(packed)
+    blocks = sample.rdd.coalesce(FIT_TASKS).mapPartitions(packed)
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     size = FEATURES + 3 * len(LABELLERS)
     weights = np.zeros(size + 1)
@@ -220,29 +249,31 @@ def fit_scorer(sample: DataFrame, steps: int = 300, rate: float = 0.05, decay: f
 
 
 class Classifier:
-    """Word lists, posteriors and scorer; small and of fixed size, so it is sent to the tasks whole."""
+    """Listed buckets, posteriors and scorer; small and of fixed size, so it is sent to the tasks whole."""
 
-    def __init__(self, listed: frozenset[bytes], prefixes: frozenset[bytes]):
-        self.listed, self.prefixes = listed, prefixes
+    def __init__(self, listed: np.ndarray):
+        self.listed = listed
         self.posterior: dict[str, float] = {}
         self.rates: dict[str, np.ndarray] = {}
         self.weights = np.zeros(FEATURES + 3 * len(LABELLERS) + 1, dtype=np.float32)
 
-    def votes(self, text: str | None) -> tuple[list[bytes], str]:
+    def votes(self, text: str | None) -> tuple[tuple[np.ndarray, np.ndarray], str]:
+        """Hashes of the words, and the votes."""
         words = words_of(text)
-        return words, votes_of(text, words, self.listed, self.prefixes)
+        hashes = hashes_of(words)
+        return hashes, votes_of(text, words, hashes, self.listed)
 
     def score(self, text: str | None) -> tuple[float, str]:
-        words, votes = self.votes(text)
-        features = features_of(words, votes)
+        hashes, votes = self.votes(text)
+        features = features_of(hashes, votes)
         z = float(self.weights[features] @ scales_of(features)) + float(self.weights[-1])
         return 1 / (1 + float(np.exp(-np.clip(z, -500, 500)))), votes
 
 
 def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED, labelled: int = LABELLED) -> Classifier:
-    """Counts votes over all of ``docs`` and fits the scorer on at most ``fitted`` of them."""
+    """Counts votes over all of ``docs`` and fits the scorer on at most ``fitted`` distinct texts of them."""
     context = docs.sparkSession.sparkContext
-    classifier = Classifier(*unwanted_words(docs, labels, labelled))
+    classifier = Classifier(listed_buckets(docs, labels, labelled))
     shared = context.broadcast(classifier)
 
     def start_votes():
@@ -261,16 +292,13 @@ def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED, labelled: int
         votes = shared.value.votes
 
         def featured(text: str | None) -> tuple:
-            words, own = votes(text)
-            return posterior.value[own], features_of(words, own).astype(np.int32).tobytes()
+            hashes, own = votes(text)
+            return posterior.value[own], features_of(hashes, own).astype(np.int32).tobytes()
 
         return featured
 
-    # First the ids alone, then the texts of those.
     total = sum(n for _, n in patterns)
-    hashed = F.xxhash64("doc_id")
-    last = smallest_hashes(docs.select("doc_id"), "doc_id", total, fitted).agg(F.max(hashed)).first()[0]
-    texts = docs.filter(hashed <= last).select("text")
+    texts = distinct_texts(docs, fitted, total=total).repartition(FIT_TASKS, "digest")
     sample = map_rows(texts, ["text"], {"goal": "double", "features": "binary"}, start_features)
     # Read by every step's tasks until they hold it, so computed once.
     written = cut_lineage(sample.select("goal", "features"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def smallest_hashes(df: DataFrame, key: str, total: int, limit: int) -> DataFrame:
@@ -16,3 +16,19 @@ def smallest_hashes(df: DataFrame, key: str, total: int, limit: int) -> DataFram
     if share < 1:
         df = df.filter(hashed < int(share * 2**64) - 2**63)
     return df.orderBy(hashed, key).limit(limit)
+
+
+def distinct_texts(df: DataFrame, limit: int, *values: Column, total: int | None = None) -> DataFrame:
+    """(digest, text, ``values`` aggregated per text): at most ``limit`` distinct texts of ``df``, those with the smallest
+    digests. A null text is one too.
+
+    With ``total``, the number of rows, a bound on the digest comes first, as in ``smallest_hashes``; where many rows are
+    copies, it leaves fewer texts than ``limit``. Digests alone are read to find the last one, and copies of a text meet
+    within their tasks before they are shuffled.
+    """
+    rows = df.withColumn("digest", F.xxhash64("text"))
+    if total and 1.2 * limit < total:
+        rows = rows.filter(F.col("digest") < int(1.2 * limit / total * 2**64) - 2**63)
+    last = rows.select("digest").distinct().orderBy("digest").limit(limit).agg(F.max("digest")).first()[0]
+    chosen = rows.filter(F.col("digest") <= last)
+    return chosen.groupBy("digest", "text").agg(*values) if values else chosen.select("digest", "text").distinct()

@@ -4,14 +4,16 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import rows
 from pyspark.sql import functions as F
 
-from fanchart.llm import fm_index, itq, quality, queries, sharding, simhash, substring
+from fanchart.llm import decontaminate, fm_index, itq, quality, queries, sharding, simhash, substring
 from fanchart.llm.components import connected_components
+from fanchart.llm.sampling import distinct_texts
 
 
 def roots_of(nodes, links):
@@ -301,6 +303,101 @@ def test_estimation_finds_the_accuracies():
     assert np.mean([(keep[v] >= 0.5) == s for v, s in zip(votes, sound)]) > 0.97
 
 
+def plain_quality(docs, labels, steps=300, rate=0.05, decay=1e-4):
+    """(score, votes) by id: buckets, vote counts and the scorer's fit by plain loops and dense matrices."""
+    toxic = {}
+    for i, label in labels:
+        if i is not None and label is not None:
+            toxic[i] = max(toxic.get(i, 0), int(label == 1))
+    known = {}
+    for i, text in docs:
+        if i in toxic:
+            known[text] = max(known.get(text, 0), toxic[i])
+    listed, share = {}, sum(known.values()) / max(len(known), 1)
+    counts = {}
+    for text, bad in known.items():
+        words = set(decontaminate.words_of(text))
+        hashed = {zlib.crc32(w) % quality.BUCKETS for w in words}
+        hashed |= {zlib.crc32(b"\0" + w[:6]) % quality.BUCKETS + quality.BUCKETS for w in words}
+        for h in hashed:
+            n, b = counts.get(h, (0, 0))
+            counts[h] = n + 1, b + bad
+    for h, (n, b) in counts.items():
+        p, z = b / n, quality.DEVIATIONS
+        low = (p + z**2 / n / 2 - z * math.sqrt(p * (1 - p) / n + (z / n / 2) ** 2)) / (1 + z**2 / n)
+        if low > (1 + share) / 2:
+            listed[h] = -math.log(1 - low)
+    evidence = np.zeros(2 * quality.BUCKETS if 0 < share < 1 else 0)
+    for h, e in listed.items():
+        evidence[h] = e
+    own = {}
+    for text in {t for _, t in docs}:
+        words = decontaminate.words_of(text)
+        own[text] = quality.votes_of(text, words, quality.hashes_of(words), evidence)
+    keep, _ = quality.posteriors(sorted(Counter(own[t] for _, t in docs).items()))
+    different = list(own)
+    columns = quality.FEATURES + 3 * len(quality.LABELLERS)
+    index = {}
+    rows_ = []
+    for text in different:
+        words = set(decontaminate.words_of(text))
+        hashed = {zlib.crc32(w) % quality.FEATURES for w in words}
+        hashed |= {zlib.crc32(b"\0" + w[:6]) % quality.FEATURES for w in words}
+        cast = {quality.FEATURES + 3 * i + "kra".index(v) for i, v in enumerate(own[text])}
+        rows_.append({c: 1 / math.sqrt(len(hashed)) for c in hashed} | dict.fromkeys(cast, 1.0))
+        for c in rows_[-1]:
+            index.setdefault(c, len(index))
+    assert max(index) < columns
+    x = np.zeros((len(different), len(index) + 1))
+    for i, row in enumerate(rows_):
+        x[i, -1] = 1
+        for c, v in row.items():
+            x[i, index[c]] = v
+    goal = np.array([keep[own[t]] for t in different])
+    shrink = np.array([decay if c < quality.FEATURES else 0.0 for c in index] + [0.0])
+    w, mean, square = (np.zeros(x.shape[1]) for _ in range(3))
+    for step in range(1, steps + 1):
+        slope = x.T @ (1 / (1 + np.exp(-(x @ w))) - goal) / len(different) + shrink * w
+        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    scores = 1 / (1 + np.exp(-(x @ w)))
+    return {t: (float(s), own[t]) for t, s in zip(different, scores)}
+
+
+def test_quality_query_against_a_plain_version(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    wanted, text = plain_quality(docs, labels), dict(docs)
+    got = queries.queries()["op10_quality"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        score, votes = wanted[text[r.doc_id]]
+        assert r.votes == votes and abs(r.score - score) < 1e-3 and (r.keep == (score >= 0.5) or abs(score - 0.5) < 1e-3)
+
+
+def test_listed_words_have_no_shortest_length_and_count_texts_once(spark):
+    marks, plain = ["zq", "yx", "\u4eba"], [f"w{i} of the day" for i in range(60)]
+    texts = [(i, f"{marks[i % 3]} {marks[(i + 1) % 3]} w{i} day") for i in range(12)] + list(enumerate(plain, 100))
+    # One toxic text a thousand times, by one id and by many: its own words are no evidence.
+    texts += [(500 + i % 40, "copied stuff day") for i in range(1000)]
+    labels = [(i, 0, int(i < 100 or i >= 500)) for i in {i for i, _ in texts}]
+    docs = rows.table(spark, texts, "doc_id bigint, text string")
+    listed = quality.listed_buckets(docs, rows.table(spark, labels, "doc_id bigint, quality int, toxic int"))
+    assert all(listed[zlib.crc32(m.encode()) % quality.BUCKETS] for m in marks)
+    assert not any(listed[zlib.crc32(w) % quality.BUCKETS] for w in [b"copied", b"stuff", b"day", b"of", b"w1"])
+    vote = {t: quality.Classifier(listed).votes(t)[1][-2] for t in ["zq yx" + " ok" * 20, "zq" + " ok" * 20, "ok " * 20]}
+    assert list(vote.values()) == ["r", "a", "k"]
+
+
+def test_fitted_texts_are_bounded_whatever_the_ids(spark):
+    texts = [(7, rows.prose(i, 30)) for i in range(300)] + [(i, "same text " * 5) for i in range(300)]
+    docs = rows.table(spark, texts, "doc_id bigint, text string")
+    chosen = [r.text for r in distinct_texts(docs, 40).collect()]
+    assert len(chosen) == len(set(chosen)) == 40
+    assert len(distinct_texts(docs, 40, total=600).collect()) <= 40
+    assert len(distinct_texts(docs, 1000, total=600).collect()) == 301
+
+
 def test_quality_on_held_out_labels(spark):
     """Fitted on word lists from half of the labels, judged on the other half."""
     folder = "/root/testdata/sf0.1"
