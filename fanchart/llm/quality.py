@@ -40,7 +40,7 @@ KEEP, REJECT, ABSTAIN = "k", "r", "a"
 # Bounds of the two samples, and the number of hashed features.
 LABELLED, FITTED, FEATURES = 20_000, 12_000, 1 << 18
 # Tasks of one step of the scorer's fit.
-FIT_TASKS = 16
+FIT_TASKS = 8
 # Buckets of listed words; word beginnings have as many of their own.
 BUCKETS = 1 << 20
 # Standard deviations of the confidence bound, and the doubt that listed words may leave.
