@@ -10,6 +10,11 @@ width, so that a pair at the threshold is found with the stated probability at e
 vectors, which are shorter than the unit vectors if those share a direction, and then the angle of a pair is larger: the
 number of tables and the code distance follow the angle at the centred length that only ``SHORT`` of the sample fall below.
 
+There are at most ``TABLES`` tables. Where the angle asks for more, keys get narrower until that many tables keep the
+wanted recall; buckets grow instead and are split into pairs of chunks. Where such narrow keys would send a vector to more
+places than comparing all chunks of its label does, the key is the label alone, and the search is exact. Codes that differ
+as much in pairs as in strangers tell nothing, and then candidates go to the cosine without a look at their distance.
+
 Equal vectors of a label are one class, so exact copies never meet pairwise. Null and zero vectors, those with null or
 non-finite components and rows without a label link with nothing. Vectors of different lengths never link. A null
 vec_id keeps its row and never names a component. Repeated rows are vectors of their own.
@@ -37,8 +42,12 @@ SAMPLE, BITS = 20_000, 64
 RECALL, FAR = 0.995, 20
 # Share of the sample with smaller centred vectors than the number of tables is made for.
 SHORT = 0.01
-# Buckets of more vectors are split into chunks of about this many.
-GROUP = 1024
+# Most tables, whatever the angle of a pair.
+TABLES = 32
+# Buckets of more vectors are split into chunks of about this many, at most ``WIDER`` times that where labels are very large.
+GROUP, WIDER = 1024, 4
+# Vectors whose cosines with a group are taken at a time.
+BLOCK = 512
 
 
 class Rotation:
@@ -77,6 +86,17 @@ def unit_vectors(vectors: list, size: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def unit_rows(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, zero-padded to ``size``, and lengths of a column of lists without nulls."""
+    lists = pa.concat_arrays(column.chunks)
+    lengths = lists.value_lengths().to_numpy()
+    if (lengths != size).any():
+        return unit_vectors(lists.to_pylist(), size), lengths
+    out = lists.flatten().to_numpy().astype(float).reshape(len(lists), size)
+    out /= np.abs(out).max(axis=1, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True), lengths
+
+
 def usable(embedding: str = "embedding", label: str = "label"):
     """Whether a row can link at all."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -101,13 +121,29 @@ def far_for(angle: float) -> int:
     return min(BITS, max(FAR, math.ceil(BITS * p + 8 * math.sqrt(BITS * p * (1 - p)))))
 
 
+def tables_wanted(width: int, recall: float, angle: float) -> int:
+    """Number of tables of ``width`` bits that find a pair at ``angle`` with probability ``recall``."""
+    same = (1 - angle / math.pi) ** width
+    return math.ceil(math.log(1 - recall) / math.log(1 - same)) if same < 1 else 1
+
+
+def width_for(n: int, together: float, angle: float, recall: float = RECALL, group: int = GROUP) -> int:
+    """Bits of a key for ``n`` vectors, of which a vector shares its label with ``together`` on average."""
+    widest = key_bits(n)
+    width = next(w for w in range(widest, -1, -1) if tables_wanted(w, recall, angle) <= TABLES)
+    if width == widest:
+        return width
+    # Places that a vector is sent to: its chunk with every other one, in each table.
+    narrow = tables_wanted(width, recall, angle) * max(1.0, together / 2**width / group)
+    return width if narrow < together / group else 0
+
+
 def tables_for(
     width: int, threshold: float = THRESHOLD, recall: float = RECALL, angle: float | None = None
 ) -> list[np.uint64]:
     """Masks of ``width`` bits each, as many as the wanted recall takes: at the threshold a bit of a pair differs with
     probability angle / pi. Tables take the bits in a shuffled order, one after the other, round and round."""
-    same = (1 - (math.acos(threshold) if angle is None else angle) / math.pi) ** width
-    count = math.ceil(math.log(1 - recall) / math.log(1 - same))
+    count = tables_wanted(width, recall, math.acos(threshold) if angle is None else angle)
     rng = np.random.default_rng(1)
     order = np.concatenate([rng.permutation(BITS) for _ in range(math.ceil(count * width / BITS) + 1)])
     masks = []
@@ -128,7 +164,9 @@ def nearest_links(vectors: DataFrame, threshold: float = THRESHOLD, group: int =
     """(links a, b that span all components; id and number of linked rows) for distinct ``vectors`` (id, n, label, embedding)."""
     spark = vectors.sparkSession
     ship_package(spark)
-    extent = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size")).first()
+    per_label = vectors.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size"))
+    square = F.sum(F.col("n").cast("double") * F.col("n"))
+    extent = per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("size").alias("size"), square.alias("square")).first()
     size = extent["size"] or 1
     sample = smallest_hashes(vectors.select("id", "embedding"), "id", extent["n"], SAMPLE).collect()
     units = unit_vectors([r.embedding for r in sample], size)
@@ -136,7 +174,10 @@ def nearest_links(vectors: DataFrame, threshold: float = THRESHOLD, group: int =
     angle = centred_angle(np.linalg.norm(units - rotation.mean, axis=1), threshold) if sample else math.acos(threshold)
     far = far_for(angle)
     shared = spark.sparkContext.broadcast(rotation)
-    masks = tables_for(key_bits(extent["n"]), threshold, angle=angle)
+    # Vectors of an average vector's label.
+    together = (extent["square"] or 0.0) / max(extent["n"], 1)
+    group *= min(WIDER, max(1, int(together / (32 * group))))
+    masks = tables_for(width_for(extent["n"], together, angle, group=group), threshold, angle=angle)
 
     def start_codes():
         def codes(embeddings: list) -> list[tuple]:
@@ -171,7 +212,8 @@ def nearest_links(vectors: DataFrame, threshold: float = THRESHOLD, group: int =
         return candidates
 
     schema = "bucket bigint, table int, code bigint, id bigint, side int"
-    close = map_groups(parted, "bucket", ["id"], schema, start_candidates)
+    # Beyond half of the bits the distance keeps nearly all strangers too.
+    close = map_groups(parted, "bucket", ["id"], schema, start_candidates) if far < BITS // 2 else parted
     # Then with the vectors of those.
     full = close.join(coded.select("id", "n", "embedding", "label"), "id")
     lower = np.array(masks, dtype=np.uint64)
@@ -186,21 +228,25 @@ def nearest_links(vectors: DataFrame, threshold: float = THRESHOLD, group: int =
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a < 2:
                     continue
-                own = embeddings.slice(a, b - a).to_pylist()
-                unit, lengths = unit_vectors(own, size), np.array([len(v) for v in own])
-                code = codes[a:b]
+                unit, lengths = unit_rows(embeddings.slice(a, b - a), size)
+                code, own_side = codes[a:b], side[a:b]
                 numbers = np.unique(np.array(labels[a:b]), return_inverse=True)[1]
-                close = unit @ unit.T >= threshold
-                close &= (lengths[:, None] == lengths) & (numbers[:, None] == numbers)
-                np.fill_diagonal(close, False)
-                # A pair counts in the first table that holds it, and in one group of it.
-                differ = code[:, None] ^ code
-                close &= (differ & lower[tables[a]]) == 0
-                for mask in lower[: tables[a]]:
-                    close &= (differ & mask) != 0
-                own_side = side[a:b]
-                close &= (own_side[:, None] != own_side) | (own_side == -1)
-                degree = close.astype(np.int64) @ counts[a:b]
+                close = np.zeros((b - a, b - a), dtype=bool)
+                degree = np.zeros(b - a, dtype=np.int64)
+                for at in range(0, b - a, BLOCK):
+                    block = slice(at, at + BLOCK)
+                    row, other = np.nonzero(unit[block] @ unit.T >= threshold)
+                    row += at
+                    # A pair counts in the first table that holds it, and in one group of it.
+                    differ = code[row] ^ code[other]
+                    good = (row != other) & (lengths[row] == lengths[other]) & (numbers[row] == numbers[other])
+                    good &= (differ & lower[tables[a]]) == 0
+                    for mask in lower[: tables[a]]:
+                        good &= (differ & mask) != 0
+                    good &= (own_side[row] != own_side[other]) | (own_side[row] == -1)
+                    row, other = row[good], other[good]
+                    close[row, other] = True
+                    degree += np.bincount(row, counts[a:b][other], b - a).astype(np.int64)
                 left, right = _forest(close)
                 out_a += [ids[a + left], ids[a:b][degree > 0]]
                 out_b += [ids[a + right], ids[a:b][degree > 0]]

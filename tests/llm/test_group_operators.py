@@ -223,6 +223,36 @@ def test_wider_keys_take_more_tables():
         assert 1 - (1 - same) ** len(masks) >= itq.RECALL and {int(m).bit_count() for m in masks} == {width}
 
 
+def test_the_number_of_tables_is_bounded():
+    seen = set()
+    for angle in (math.acos(itq.THRESHOLD), 0.4, 0.65, 1.2, math.pi / 2):
+        for n, together in ((0, 0.0), (1, 1.0), (10**4, 500.0), (10**6, 10.0**6), (10**11, 10.0**10)):
+            width = itq.width_for(n, together, angle)
+            masks = itq.tables_for(width, angle=angle)
+            assert len(masks) <= itq.TABLES and {int(m).bit_count() for m in masks} == {width}
+            assert width == 0 or 1 - (1 - (1 - angle / math.pi) ** width) ** len(masks) >= itq.RECALL
+            seen.add("label" if not width else "wide" if width == itq.key_bits(n) else "narrow")
+    assert seen == {"label", "wide", "narrow"}
+
+
+@pytest.mark.parametrize("offset, group", [(3.0, 1024), (3.0, 20), (5.7, 20)])
+def test_recall_where_vectors_share_a_direction(spark, offset, group, monkeypatch):
+    monkeypatch.setattr(itq.nearest_links, "__defaults__", (itq.THRESHOLD, group))
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(500, 64)) / 8 + offset * np.eye(64)[0]
+    # Twins on either side of the threshold.
+    twin = base + rng.normal(size=base.shape) * 0.025 * np.linalg.norm(base, axis=1, keepdims=True) * rng.uniform(0.7, 1.1, (500, 1))
+    data = [(i, v.tolist(), i % 2) for i, v in enumerate(np.vstack([base, twin]))]
+    got = itq.near_duplicate_vectors(rows.table(spark, data, "vec_id bigint, embedding array<double>, label int")).collect()
+    unit = np.array([v for _, v, _ in data])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.arange(1000) % 2
+    links = (unit @ unit.T >= itq.THRESHOLD) & (label[:, None] == label) & ~np.eye(1000, dtype=bool)
+    for own in (0, 1):
+        wanted = links[label == own].sum()
+        assert 0 < 0.99 * wanted <= sum(r.n_links for r in got if r.vec_id % 2 == own) <= wanted
+
+
 def test_codes_are_balanced():
     rng = np.random.default_rng(0)
     sample = rng.normal(size=(2000, 16)) @ rng.normal(size=(16, 16)) + 3
