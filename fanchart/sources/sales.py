@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -19,8 +19,12 @@ from fanchart.schema import FORECAST_TYPES, PANEL_DEFAULTS, PANEL_TYPES, PLAN_TY
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-# Headers of a folder's files are read by this many jobs at a time.
-HEADER_JOBS = 8
+# Settings of the header scan: no file is cut or packed with others, so that a task has one file and reads a few lines.
+HEADER_SCAN = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 40),
+    "spark.sql.files.openCostInBytes": str(1 << 40),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "16",
+}
 NUMBERS = (T.DoubleType, T.IntegerType, T.LongType)
 
 
@@ -28,6 +32,38 @@ class BadValuesError(ValueError):
     """A file has dates or numbers that cannot be read."""
 
 
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of ``path``, one list per distinct header line; a single list without names if there is but one file.
+
+    One job, in a session of its own settings: a task gets one file and stops at its first line that is not blank. Files
+    without such a line have no rows and are left out, unless all are like that.
+    """
+    apart = spark.newSession()
+    for name, value in HEADER_SCAN.items():
+        apart.conf.set(name, value)
+    lines = apart.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return [[]]
+
+    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and batch.column(0)[0].as_py():
+                # Not the start of its file.
+                return
+            for i, line in enumerate(batch.column(2).to_pylist()):
+                if line.strip():
+                    yield batch.slice(i, 1)
+                    return
+
+    # The path is given as a URI, in which a plus sign stands for itself.
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    place = [F.col("_metadata.file_block_start").alias("start"), file.alias("file")]
+    found = lines.select(*place, "value").mapInArrow(first_line, "start bigint, file string, value string")
+    # The driver gets what the listing of the folder holds too: the names of the files.
+    groups = found.groupBy("value").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return sorted(r.files for r in groups) or [[]]
+
+
 def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with ``line``, the place of a row: file, offset of its block, number within the block.
 
@@ -36,16 +72,12 @@ def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
     file lacks and others have gets the panel's default in its rows, as it would if all files lacked it.
     """
     reader = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).option("enforceSchema", False)
-    files = sorted(reader.csv(path).inputFiles())
-
-    def header(file: str) -> tuple[str, ...]:
-        return tuple(reader.csv(file).columns)
-
-    with ThreadPool(HEADER_JOBS) as pool:
-        headers = pool.map(inheritable_thread_target(spark)(header), files) if len(files) > 1 else [header(path)]
+    by_line = _files_by_header(spark, path)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for file, names in zip(files, headers):
-        by_header.setdefault(names, []).append(file)
+    for own in by_line:
+        # The reader itself turns a header into names, one small job per distinct header.
+        names = tuple(reader.csv(path if len(by_line) == 1 else own[0]).columns)
+        by_header.setdefault(names, []).extend(own)
     parts = []
     for names, own in by_header.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -68,14 +100,18 @@ def _read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType], line
 
     The header decides which columns exist; no pass over the data infers types. Known columns are cast afterwards.
     """
-    raw = _raw_csv(spark, path)
+    typed = _typed(_raw_csv(spark, path), types)
+    return typed if line else typed.drop("line")
+
+
+def _typed(raw: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+    """Known columns cast, but dates, which stay text."""
     casts = {
         name: F.col(name).try_cast(kind)
         for name, kind in types.items()
         if name in raw.columns and name != "date" and not isinstance(kind, T.StringType)
     }
-    typed = raw.withColumns(casts) if casts else raw
-    return typed if line else typed.drop("line")
+    return raw.withColumns(casts) if casts else raw
 
 
 def count_bad_values(
@@ -83,7 +119,10 @@ def count_bad_values(
 ) -> dict[str, int]:
     """Per column of ``types`` the number of texts that are not empty and cannot be read; columns without any are left
     out. One pass over the columns in question."""
-    raw = _raw_csv(spark, path)
+    return _bad_values(_raw_csv(spark, path), types, formats)
+
+
+def _bad_values(raw: DataFrame, types: dict[str, T.DataType], formats: tuple[str, ...]) -> dict[str, int]:
     checks = {"date": parse_date(F.col("date"), formats)} if "date" in raw.columns else {}
     checks |= {n: F.col(n).try_cast(k) for n, k in types.items() if n in raw.columns and isinstance(k, NUMBERS)}
     bad = [F.count_if((F.trim(n) != "") & value.isNull()).alias(n) for n, value in checks.items()]
@@ -142,12 +181,13 @@ def write_normalised(
     """
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("target must differ from source: Spark cannot overwrite what it reads")
-    if bad := count_bad_values(spark, source, PANEL_TYPES, formats):
+    # Headers are read once, for the check and for the panel.
+    raw = _raw_csv(spark, source)
+    if bad := _bad_values(raw, PANEL_TYPES, formats):
         raise BadValuesError(f"{source} has values that cannot be read, by column: {bad}; date formats are {formats}")
+    panel = normalise(_typed(raw, PANEL_TYPES).drop("line"), DAILY if roll_up else grain, formats)
     if roll_up:
-        panel = normalise(monthly_rollup(read_sales(spark, source, DAILY, formats)), grain)
-    else:
-        panel = read_sales(spark, source, grain, formats)
+        panel = normalise(monthly_rollup(panel), grain)
     write_panel(panel, target)
     return read_panel(spark, target)
 

@@ -21,6 +21,32 @@ def test_csv_with_bom_quotes_and_bad_values(spark, tmp_path):
     assert (bad.date, bad.sku, bad.category, bad.qty) == (None, "102025", "ALL", None)
 
 
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    folder = tmp_path / "many + files é"
+    folder.mkdir()
+    for i in range(40):
+        head, row = [("date,sku,qty", f"2024-01-05,{i},{i}"), ("qty,sku,date", f"{i},{i},2024-01-05")][i % 2]
+        (folder / f"part {i:02}.csv").write_text("\n" * (i % 3) + f"{head}\n" + f"{row}\n" * (2000 if i < 2 else 1), encoding="utf-8")
+    (folder / "empty.csv").write_text("", encoding="utf-8")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        raw = sales.read_raw_sales(spark, str(folder))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # One for the header lines, its aggregate planned anew counting as a second, and one per distinct header.
+    assert len(jobs) <= 4
+    got = {(r.sku, r.qty, r.date): r["count"] for r in raw.groupBy("sku", "qty", "date").count().collect()}
+    assert got == {(str(i), float(i), "2024-01-05"): 2000 if i < 2 else 1 for i in range(40)}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != sales.HEADER_SCAN["spark.sql.files.maxPartitionBytes"]
+
+
+def test_files_without_rows(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("", encoding="utf-8")
+    assert sales.read_raw_sales(spark, str(tmp_path)).columns == []
+
+
 def test_numeric_sku_stays_text(spark, tmp_path):
     path = tmp_path / "sales.csv"
     path.write_text("date,sku,qty\r\n8.21.2025,102025,-3\r\n", encoding="utf-8")
