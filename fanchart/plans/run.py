@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +18,20 @@ from fanchart.operators.forecast import recursive_forecast
 from fanchart.operators.panel import keep_lookback, require_unique_key
 from fanchart.operators.search import fit_best, guided_search, random_search, search_ranges
 from fanchart.operators.series import export_table
+from fanchart.plans.manifest import forget, input_version, run_stage, version_of
 from fanchart.session import drop_path
 from fanchart.sources.params import load_best_params, write_best_params, write_trials
-from fanchart.sources.sales import read_promo_plan, write_csv, write_forecast, write_normalised
+from fanchart.sources.sales import read_panel, read_promo_plan, write_csv, write_forecast, write_normalised
 
 
 # Trees per quantile of the two tree experts.
 ROUNDS = {"onehot": 800, "target": 1200}
+# Settings that the panel depends on, and those that concern neither a search nor a training.
+PANEL_SETTINGS = ("freq", "date_formats", "roll_up")
+FORECAST_SETTINGS = (
+    "input_path", "output_path", "resume", "calibrate_once", "quantiles", "joint", "calibrate_last_k", "clip_low",
+    "clip_high", "promo_path",
+)
 
 
 @dataclass(frozen=True)
@@ -58,10 +65,34 @@ class RunConfig:
     clip_low: float = 0.6
     clip_high: float = 1.4
     promo_path: str | None = None
+    # Record finished stages, and skip those that an earlier run with the same input and settings finished.
+    resume: bool = False
 
 
-def search_and_save(spark: SparkSession, config: RunConfig, features: DataFrame, encoding: str) -> QuantileModel:
-    """Search one tree expert, write its trials and best parameters, fit it on all rows and save it."""
+def panel_version(spark: SparkSession, config: RunConfig) -> str | None:
+    """Version of the panel for the record of stages; None if nothing is recorded."""
+    if not config.resume:
+        return None
+    return version_of(input_version(spark, config.input_path), [getattr(config, name) for name in PANEL_SETTINGS])
+
+
+def training_version(spark: SparkSession, config: RunConfig, stage: str) -> str | None:
+    """Version of a search or training; None if nothing is recorded."""
+    settings = {name: value for name, value in asdict(config).items() if name not in FORECAST_SETTINGS}
+    panel = panel_version(spark, config)
+    return panel and version_of(stage, panel, settings)
+
+
+def search_and_save(spark: SparkSession, config: RunConfig, features: DataFrame, encoding: str) -> None:
+    """Search one tree expert, write its trials and best parameters, fit it on all rows and save it, unless finished."""
+    stage = f"search_{encoding}_{config.freq}"
+    version = training_version(spark, config, stage)
+    if run_stage(spark, config.output_path, stage, version, lambda: _search(spark, config, features, encoding, version)):
+        # A training takes the parameters that a search left.
+        forget(spark, config.output_path, f"train_{config.freq}")
+
+
+def _search(spark: SparkSession, config: RunConfig, features: DataFrame, encoding: str, version: str | None) -> None:
     grain = grain_of(config.freq)
     expert = QuantileGBT(featureCols=grain.feature_columns(), encoding=encoding)
     if config.sampler not in ("guided", "random"):
@@ -70,7 +101,8 @@ def search_and_save(spark: SparkSession, config: RunConfig, features: DataFrame,
     settings = {"trials": config.trials, "k": config.search_folds, "horizon": config.horizon}
     ranges = search_ranges(encoding, config.search_round_scale)
     if config.sampler == "guided":
-        log = f"{config.output_path}/search_batches_{name}"
+        # Trials on other sales or settings are no trials of this search.
+        log = f"{config.output_path}/search_batches_{name}" + (f"_{version[:16]}" if version else "")
         found = guided_search(expert, features, grain, ranges, **settings, log_path=log)
     else:
         found = random_search(expert, features, grain, ranges, **settings)
@@ -81,11 +113,17 @@ def search_and_save(spark: SparkSession, config: RunConfig, features: DataFrame,
     write_best_params(spark, found.best, f"{config.output_path}/best_params_{name}")
     model = fit_best(expert, features, found.best)
     model.write().overwrite().save(f"{config.output_path}/model_{name}_best")
-    return model
 
 
 def train(spark: SparkSession, config: RunConfig, panel: DataFrame) -> QuantileModel:
-    """Fit the ensemble with tuned parameters where a search left some, save it and its report."""
+    """The ensemble, fitted with tuned parameters where a search left some, saved with its report; loaded if finished."""
+    stage, fitted = f"train_{config.freq}", []
+    version = training_version(spark, config, stage)
+    run_stage(spark, config.output_path, stage, version, lambda: fitted.append(_train(spark, config, panel)))
+    return fitted[0] if fitted else load_model(spark, config)
+
+
+def _train(spark: SparkSession, config: RunConfig, panel: DataFrame) -> QuantileModel:
     grain = grain_of(config.freq)
     recent = keep_lookback(panel, config.lookback_months, grain)
     features = prepare_features(add_features(recent, grain), grain)
@@ -116,10 +154,14 @@ def load_panel(spark: SparkSession, config: RunConfig) -> DataFrame:
     """The input as a written panel, checked."""
     if config.roll_up and config.freq != "monthly":
         raise ValueError("roll_up makes a monthly panel")
-    target = f"{config.output_path}/panel_{config.freq}"
-    grain = grain_of(config.freq)
-    panel = write_normalised(spark, config.input_path, target, grain, config.date_formats, config.roll_up)
-    return require_unique_key(panel)
+    target, stage = f"{config.output_path}/panel_{config.freq}", f"panel_{config.freq}"
+
+    def work() -> None:
+        grain = grain_of(config.freq)
+        require_unique_key(write_normalised(spark, config.input_path, target, grain, config.date_formats, config.roll_up))
+
+    run_stage(spark, config.output_path, stage, panel_version(spark, config), work)
+    return read_panel(spark, target)
 
 
 def search(spark: SparkSession, config: RunConfig) -> None:
@@ -137,7 +179,11 @@ def load_model(spark: SparkSession, config: RunConfig) -> QuantileModel:
 
 
 def run(spark: SparkSession, config: RunConfig) -> DataFrame:
-    """Run every step and return the forecast, which is also written with its export table."""
+    """Run every step and return the forecast, which is also written with its export table.
+
+    With ``resume``, the panel, each search and the training are recorded when finished, and a run that is started again
+    on the same files and settings goes on behind the last of them. The forecast itself is always made.
+    """
     panel = load_panel(spark, config)
     return forecast(spark, config, panel, train(spark, config, panel))
 

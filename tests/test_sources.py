@@ -1,9 +1,13 @@
+from dataclasses import replace
 from datetime import date
 
 import pytest
 
 from fanchart.functions.dates import MONTH_FIRST_FORMATS
 from fanchart.grain import DAILY, MONTHLY
+from fanchart.models.closed_form import SeasonalNaive
+from fanchart.plans import run as plan
+from fanchart.plans.manifest import input_version, is_finished, run_stage
 from fanchart.plans.run import RunConfig, forecast_saved, load_panel, run
 from fanchart.schema import PANEL_TYPES, MissingColumnError
 from fanchart.session import small_side
@@ -138,6 +142,55 @@ def test_whole_run(spark, tmp_path):
     assert set(report.experts[0].cat_cols) <= set(report.experts[0].feature_names) and report.experts[2].cat_cols is None
 
 
+def test_stages_are_recorded_when_finished(spark, tmp_path):
+    folder, done = str(tmp_path), []
+    assert run_stage(spark, folder, "a", "1", lambda: done.append("a1")) and is_finished(spark, folder, "a", "1")
+    assert not run_stage(spark, folder, "a", "1", lambda: done.append("again")) and not is_finished(spark, folder, "a", "2")
+    with pytest.raises(ZeroDivisionError):
+        run_stage(spark, folder, "a", "2", lambda: 1 / 0)
+    assert not is_finished(spark, folder, "a", "1") and not is_finished(spark, folder, "a", "2")
+    assert run_stage(spark, folder, "a", "1", lambda: done.append("a1"))
+    # What nobody records replaces the outputs all the same.
+    assert run_stage(spark, folder, "a", None, lambda: done.append("free")) and not is_finished(spark, folder, "a", "1")
+    assert done == ["a1", "a1", "free"]
+
+
+def test_a_run_goes_on_behind_its_finished_stages(spark, tmp_path, monkeypatch):
+    synthetic_panel(demo_items(spark)).coalesce(1).write.option("header", True).csv(str(tmp_path / "in"))
+    config = RunConfig(
+        input_path=str(tmp_path / "in"), output_path=str(tmp_path / "out"), horizon=2, lookback_months=48, resume=True, joint=False
+    )
+    monkeypatch.setattr(plan, "QuantileGBT", lambda **_: SeasonalNaive(freq="monthly"))
+    done = []
+
+    def noted(name):
+        work = getattr(plan, name)
+        monkeypatch.setattr(plan, name, lambda *args: (done.append(name), work(*args))[1])
+
+    noted("write_normalised")
+    noted("_train")
+
+    def dies(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as lost:
+        lost.setattr(plan, "forecast", dies)
+        with pytest.raises(RuntimeError):
+            run(spark, config)
+    assert done == ["write_normalised", "_train"]
+    assert run(spark, config).count() == 6 and done == ["write_normalised", "_train"]
+    # Only the forecast: settings that concern it alone leave both stages as they are.
+    plan.train(spark, replace(config, clip_low=0.1), load_panel(spark, config))
+    assert done == ["write_normalised", "_train"]
+    plan.train(spark, replace(config, halflife=6), load_panel(spark, config))
+    assert done == ["write_normalised", "_train", "_train"]
+    before = input_version(spark, config.input_path)
+    (tmp_path / "in" / "new.csv").write_text("date,sku,category,qty,promo_flag\n2030-01-31,A,X,5,0\n", encoding="utf-8")
+    assert input_version(spark, config.input_path) != before
+    load_panel(spark, config)
+    assert done[3:] == ["write_normalised"]
+
+
 def test_columns_in_different_orders_and_missing_ones(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("date,sku,qty,promo_flag\n2024-01-31,A,5,1\n", encoding="utf-8")
