@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from fanchart.functions.metrics import METRICS, UNSCORED, mase, quantile_scores
@@ -17,6 +19,10 @@ from fanchart.operators.panel import drop_incomplete
 from fanchart.session import cut_lineage
 
 
+# Folds fitted at a time.
+FOLD_JOBS = 4
+
+
 def longest_lag(columns: Sequence[str]) -> int:
     """The largest n among columns named y_lag<n>, 0 if there is none."""
     lags = [int(m.group(1)) for m in (re.fullmatch(r"y_lag(\d+)", c) for c in columns) if m]
@@ -63,25 +69,32 @@ def walk_forward_seasonal(features: DataFrame, grain: Grain, k: int, horizon: in
     return fold_scores(test.withColumns(seasonal_quantiles(lag_column)))
 
 
-def walk_forward(estimator, features: DataFrame, grain: Grain, k: int, horizon: int) -> DataFrame:
+def walk_forward(
+    estimator, features: DataFrame, grain: Grain, k: int, horizon: int, parallelism: int = FOLD_JOBS
+) -> DataFrame:
     """Scores of any expert per fold.
 
-    One fit per fold; the folds' predictions are united and scored in a single aggregate. Pass features that are
-    already written or checkpointed, as every fold reads them again.
+    One fit per fold, ``parallelism`` of them at a time, so that the small jobs of one fill the cores that another leaves
+    idle; the folds' predictions are united and scored in a single aggregate. Pass features that are already written or
+    checkpointed, as every fold reads them again.
     """
     complete = drop_incomplete(features)
     folds = rolling_folds(complete, k, horizon)
     assigned = assign_folds(complete.select("date"), folds)
     usable = usable_folds(assigned, fewest_train_rows(features.columns))
     lag_column = grain.season_column
-    predicted = []
-    # At most k rows come to the driver.
-    for fold in folds.join(usable, "fold").orderBy("fold").collect():
+
+    def predicted_fold(fold) -> DataFrame:
         train = complete.filter(F.col("date") <= F.lit(fold.train_end))
         test = complete.filter((F.col("date") > F.lit(fold.train_end)) & (F.col("date") <= F.lit(fold.test_end)))
         scored = estimator.fit(train).transform(test).withColumn("fold", F.lit(fold.fold))
         scored = scored.join(residual_summary(train, lag_column).select("sku", "scale"), "sku", "left")
-        predicted.append(scored.select("fold", "sku", "date", "qty", "p10", "p50", "p90", "scale"))
+        return scored.select("fold", "sku", "date", "qty", "p10", "p50", "p90", "scale")
+
+    # At most k rows come to the driver.
+    chosen = folds.join(usable, "fold").orderBy("fold").collect()
+    with ThreadPool(max(1, min(parallelism, len(chosen)))) as pool:
+        predicted = pool.map(inheritable_thread_target(features.sparkSession)(predicted_fold), chosen, chunksize=1)
     if not predicted:
         empty = complete.limit(0).withColumns({c: F.lit(0.0) for c in ("p10", "p50", "p90", "scale")})
         return fold_scores(empty.withColumn("fold", F.lit(0)))
