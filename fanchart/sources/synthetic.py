@@ -15,6 +15,8 @@ DEMO_ITEMS = [
 ITEM_SCHEMA = "sku string, base double, origin int, slope double, promo_months array<int>"
 DEMO_START, DEMO_END = "2019-01-31", "2024-12-31"
 YEAR_SWING, HALF_YEAR_SWING, PROMO_BOOST, NOISE = 12.0, 6.0, 10.0, 5.0
+# Items whose months one task makes.
+ITEMS_A_TASK = 10_000
 
 
 def demo_items(spark: SparkSession) -> DataFrame:
@@ -33,16 +35,19 @@ def synthetic_panel(
 ) -> DataFrame:
     """One row per item and month end: level, linear trend, two seasonal waves, promotion boost and noise, at least 0.
 
-    The noise follows from item, month and seed alone, so partitions cannot change it.
+    The noise follows from item, month and seed alone, so partitions cannot change it. A row of items becomes a row per
+    month, so few files or row groups of items are much work: the items are counted and dealt out before that.
     """
     first, last = F.last_day(F.lit(start).cast("date")), F.last_day(F.lit(end).cast("date"))
     months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first)
-    grid = items.withColumn("i", F.explode(F.sequence(F.lit(0), months)))
-    grid = grid.withColumn("date", F.last_day(F.add_months(first, F.col("i"))))
+    calendar = items.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), months)).alias("i"))
     month = F.month("date")
-    promo = F.array_contains("promo_months", month).cast("int")
     wave = YEAR_SWING * F.sin(2 * math.pi * month / 12) + HALF_YEAR_SWING * F.cos(2 * math.pi * month / 6)
-    level = F.col("base") + (F.col("i") - F.col("origin")) * F.col("slope") + wave + PROMO_BOOST * promo
+    calendar = calendar.withColumn("date", F.last_day(F.add_months(first, F.col("i")))).withColumn("wave", wave)
+    dealt = items.repartition(max(1, -(-items.count() // ITEMS_A_TASK)))
+    grid = dealt.crossJoin(F.broadcast(calendar))
+    promo = F.array_contains("promo_months", month).cast("int")
+    level = F.col("base") + (F.col("i") - F.col("origin")) * F.col("slope") + F.col("wave") + PROMO_BOOST * promo
     if noise:
         level = level + noise * normal_noise("sku", "i", seed)
     return grid.select(

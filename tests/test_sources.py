@@ -2,6 +2,7 @@ from dataclasses import replace
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from fanchart.functions.dates import MONTH_FIRST_FORMATS
 from fanchart.grain import DAILY, MONTHLY
@@ -11,7 +12,7 @@ from fanchart.plans.manifest import input_version, is_finished, run_stage
 from fanchart.plans.run import RunConfig, forecast_saved, load_panel, run
 from fanchart.schema import PANEL_TYPES, MissingColumnError
 from fanchart.session import small_side
-from fanchart.sources import params, sales
+from fanchart.sources import params, sales, synthetic
 from fanchart.sources.synthetic import demo_items, synthetic_panel
 
 MESSY = '﻿"date","sku","category","qty","promo_flag"\n2024-01-05,"Jack ""big"", 2t","tools",548.000,1\nbad,102025.0,,x,0\n'
@@ -106,6 +107,18 @@ def test_demo_panel(spark):
     assert {(r.sku, r.date.month) for r in rows if r.promo_flag} == {("A", 3), ("A", 9), ("B", 11), ("B", 12)}
 
 
+def test_panel_of_one_large_file_is_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(synthetic, "ITEMS_A_TASK", 20, raising=False)
+    items = [(f"s{i % 190}" if i else None, float(i), i % 50, i / 100, [3, 9] if i % 2 else []) for i in range(200)]
+    items = spark.createDataFrame(items, synthetic.ITEM_SCHEMA).coalesce(1)
+    panel = synthetic_panel(items)
+    tasks = panel.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 10 and sum(r[1] for r in tasks) == 200 * 72 and max(r[1] for r in tasks) <= 2 * 20 * 72
+    one = synthetic_panel(items.filter("sku is null")).collect()
+    assert len(one) == 72 and {r.promo_flag for r in one} == {0}
+    assert synthetic_panel(items.limit(0)).count() == 0
+
+
 def test_small_side_is_broadcast_only_below_the_limit(spark):
     large, side = spark.range(1000).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
