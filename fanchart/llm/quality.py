@@ -216,6 +216,12 @@ def packed(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield np.concatenate(features), row, scale, np.array(goal)
 
 
+def renumbered(block: tuple, used: np.ndarray) -> tuple:
+    """The block with each feature by its place in ``used``, which has all of them in ascending order."""
+    index, *rest = block
+    return np.searchsorted(used, index).astype(np.int32), *rest
+
+
 def slope_of(block: tuple, weights: np.ndarray) -> np.ndarray:
     """Sum of the slopes of a block's documents: by feature, then of the intercept, and the number of documents last."""
     index, row, scale, goal = block
@@ -226,18 +232,23 @@ def slope_of(block: tuple, weights: np.ndarray) -> np.ndarray:
 
 def fit_scorer(sample: DataFrame, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights of the features, and the intercept last, of a logistic scorer for the soft labels of ``sample`` (goal,
-    features): full-batch Adam. Tasks keep the documents and sum up their slopes; only slopes reach the driver."""
+    features): full-batch Adam. Tasks keep the documents and sum up their slopes; only slopes reach the driver.
+
+    A feature that no document of the sample has keeps the weight 0, so the steps exchange numbers of the others only.
+    """
     context = sample.sparkSession.sparkContext
-    blocks = sample.rdd.coalesce(FIT_TASKS).mapPartitions(packed)
-    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    size = FEATURES + 3 * len(LABELLERS)
-    weights = np.zeros(size + 1)
+    packs = sample.rdd.coalesce(FIT_TASKS).mapPartitions(packed).persist(StorageLevel.MEMORY_AND_DISK)
+    # Each task's different features, once; there are at most FIT_TASKS tasks.
+    used = np.unique(np.concatenate(packs.map(lambda block: np.unique(block[0])).collect()))
+    places = context.broadcast(used)
+    blocks = packs.map(lambda block: renumbered(block, places.value)).persist(StorageLevel.MEMORY_AND_DISK)
+    weights = np.zeros(len(used) + 1)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     # Words explain what the votes leave open.
-    shrink = np.concatenate([np.full(FEATURES, decay), np.zeros(size + 1 - FEATURES)])
+    shrink = np.append(np.where(used < FEATURES, decay, 0.0), 0.0)
     for step in range(1, steps + 1):
         shared = context.broadcast(weights)
-        # One dense slope a task, at most FIT_TASKS of them.
+        # One slope a task, at most FIT_TASKS of them.
         total = sum(blocks.map(lambda block, shared=shared: slope_of(block, shared.value)).collect())
         shared.destroy()
         slope = total[:-1] / total[-1] + shrink * weights
@@ -245,7 +256,11 @@ def fit_scorer(sample: DataFrame, steps: int = 300, rate: float = 0.05, decay: f
         square = 0.999 * square + 0.001 * slope**2
         weights = weights - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     blocks.unpersist()
-    return weights
+    packs.unpersist()
+    places.destroy()
+    every = np.zeros(FEATURES + 3 * len(LABELLERS) + 1)
+    every[used], every[-1] = weights[:-1], weights[-1]
+    return every
 
 
 class Classifier:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import rows
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from fanchart.llm import decontaminate, fm_index, itq, quality, queries, sharding, simhash, substring
@@ -472,6 +473,35 @@ def test_every_chosen_document_is_fitted_on_whatever_the_order(spark, monkeypatc
     assert fitted == [30, 30] and np.allclose(a, b, atol=1e-5)
 
 
+def test_the_fit_sends_the_driver_numbers_of_the_samples_features_only(spark, monkeypatch):
+    votes = [quality.FEATURES + 3 * i for i in range(len(quality.LABELLERS))]
+    sample = [(i % 5 / 8 + i % 3 / 7, np.array([*{7 * (i % 5), 250_000 + i % 3}, *votes], dtype=np.int32).tobytes()) for i in range(40)]
+    different = len({f for _, b in sample for f in np.frombuffer(b, dtype=np.int32)})
+    collect, sizes = RDD.collect, []
+
+    def watched(self):
+        got = collect(self)
+        sizes.extend(len(x) for x in got if isinstance(x, np.ndarray))
+        return got
+
+    monkeypatch.setattr(RDD, "collect", watched)
+    weights = quality.fit_scorer(rows.table(spark, sample, "goal double, features binary"), steps=20)
+    assert sizes and max(sizes) <= different + 2
+    # The same steps with a weight for every feature.
+    goals = np.array([g for g, _ in sample])
+    dense = np.zeros((len(sample), quality.FEATURES + 3 * len(quality.LABELLERS) + 1), dtype=np.float32)
+    for own, (_, b) in zip(dense, sample):
+        features = np.frombuffer(b, dtype=np.int32)
+        own[features], own[-1] = quality.scales_of(features), 1
+    plain, mean, square = np.zeros(dense.shape[1]), 0, 0
+    for step in range(1, 21):
+        slope = dense.T @ (1 / (1 + np.exp(-dense @ plain)) - goals) / len(goals)
+        slope[: quality.FEATURES] += 1e-4 * plain[: quality.FEATURES]
+        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        plain = plain - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    assert len(weights) == len(plain) and np.allclose(weights, plain, atol=1e-3)
+
+
 def test_the_most_frequent_word_is_counted_in_the_whole_text():
     words = [w for i in range(25) for w in (b"a%d" % i, b"buy")]
     votes = quality.votes_of(b" ".join(words).decode(), words, frozenset(), frozenset())
